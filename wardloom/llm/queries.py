@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions.keys import kind_key
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
+from wardloom.llm.split import split_oversized
 from wardloom.llm.sql import SQL
 from wardloom.session import Query, table
 
@@ -38,9 +39,20 @@ def p2_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir).select(F.col("left_id").alias("chart_id"), F.col("right_id").alias("seq"), F.round("lag_s", 6).alias("lag_s"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_oversized(table(spark, sf_dir, "doc_chunk"), only_split=True, texts=False)
+    return pieces.where("piece_no = 1").select("id")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "doc_chunk"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
     "p2_found": p2_found,
     "p2_lags": p2_lags,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
 }

@@ -39,4 +39,5 @@ SQL: dict[str, str] = {
     "p1_runs": _RUNS + "select * from r",
     "p2_found": f"select chart_id, seq from ({_NEAREST})",
     "p2_lags": f"select chart_id, seq, round(d / 1e6, 6) as lag_s from ({_NEAREST})",
+    "p4_found": "select id from doc_chunk where len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 400",
 }
