@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.functions.keys import kind_key
+from wardloom.functions.keys import kind_key, trim_blanks
+from wardloom.llm.canonical import map_to_list
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
 from wardloom.llm.split import split_oversized
@@ -48,6 +49,16 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "doc_chunk"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = map_to_list(table(spark, sf_dir, "specialty_evidence"), table(spark, sf_dir, "specialty_ref"))
+    got = got.where((trim_blanks("text") != "") & ~F.col("entry").eqNullSafe(F.col("text")))
+    return got.select(F.col("id").alias("evidence_id"), F.coalesce("entry", F.lit("unmatched")).alias("specialty"))
+
+
+def p6_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_to_list(table(spark, sf_dir, "specialty_evidence"), table(spark, sf_dir, "specialty_ref"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -55,4 +66,6 @@ QUERIES: dict[str, Query] = {
     "p2_lags": p2_lags,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_found": p6_found,
+    "p6_mapped": p6_mapped,
 }
