@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions.keys import kind_key, trim_blanks
 from wardloom.llm.canonical import map_to_list
+from wardloom.llm.leakage import find_leaks
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
 from wardloom.llm.split import split_oversized
@@ -59,6 +60,16 @@ def p6_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_list(table(spark, sf_dir, "specialty_evidence"), table(spark, sf_dir, "specialty_ref"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("item_id", "doc_id")
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    held = F.array_sort(F.collect_list(F.struct("item_id", F.round(F.col("found") / F.col("length"), 4).alias("share"))))
+    return leaks.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.to_json(held).alias("items"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -68,4 +79,6 @@ QUERIES: dict[str, Query] = {
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
     "p6_mapped": p6_mapped,
+    "p8_found": p8_found,
+    "p8_documents": p8_documents,
 }
