@@ -10,6 +10,7 @@ from wardloom.llm.canonical import map_to_list
 from wardloom.llm.leakage import find_leaks
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
+from wardloom.llm.sentences import sentence_units
 from wardloom.llm.split import split_oversized
 from wardloom.llm.sql import SQL
 from wardloom.session import Query, table
@@ -70,6 +71,14 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.to_json(held).alias("items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"), texts=False)
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -81,4 +90,6 @@ QUERIES: dict[str, Query] = {
     "p6_mapped": p6_mapped,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
