@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardloom.functions.keys import kind_key, trim_blanks
 from wardloom.llm.canonical import map_to_list
 from wardloom.llm.leakage import find_leaks
+from wardloom.llm.mixing import mix_sources
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
 from wardloom.llm.sentences import sentence_units
@@ -71,6 +72,14 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.to_json(held).alias("items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1].withColumn("reached_share", F.round("reached_share", 9))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), texts=False)
 
@@ -90,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "p6_mapped": p6_mapped,
     "p8_found": p8_found,
     "p8_documents": p8_documents,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
