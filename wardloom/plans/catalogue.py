@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.plans import data
+from wardloom.plans import data, ward
 from wardloom.session import Query
 
-MODULES = (data,)
+MODULES = (data, ward)
 
 
 def queries() -> dict[str, Query]:
