@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.plans import data, ward
+from wardloom.plans import analytics, data, ward
 from wardloom.session import Query
 
-MODULES = (data, ward)
+MODULES = (data, ward, analytics)
 
 
 def queries() -> dict[str, Query]:
@@ -19,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.p7_sessions(spark, sf_dir)
+    """Coverage of every ward-day under the five evidence strategies."""
+    return analytics.coverage_cells(spark, sf_dir)
