@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardloom.plans import analytics, data, planning, ward
+from wardloom.plans import analytics, data, planning, searching, ward
 from wardloom.session import Query
 
-MODULES = (data, ward, analytics, planning)
+MODULES = (data, ward, analytics, planning, searching)
 
 
 def queries() -> dict[str, Query]:

@@ -10,18 +10,18 @@ from wardloom.operators import episodes as E
 from wardloom.operators import evidence as V
 from wardloom.operators import ingest as I
 from wardloom.operators.geometry import ward_layout
-from wardloom.session import table
+from wardloom.session import local_table, table
 
 LAYOUT = ward_layout()
 STATIONS = [f"{w}/NS" for w, _ in LAYOUT.wards]
 
 
 def places(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in LAYOUT.bed_names() + STATIONS], "place string")
+    return local_table(spark, [(p,) for p in LAYOUT.bed_names() + STATIONS], "place string")
 
 
 def beds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in LAYOUT.bed_names()], "bed string")
+    return local_table(spark, [(p,) for p in LAYOUT.bed_names()], "bed string")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +23,17 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
     nothing is set, as in tests on one machine, a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, set where it isn't yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -49,6 +58,14 @@ def small_side(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= limit_bytes else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table made on the driver, with its true size known to the optimiser."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def fits(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimiser's size estimate of ``df`` is within ``limit_bytes``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit_bytes
