@@ -74,7 +74,7 @@ def guard_path(path: str, protected: tuple[str, ...]) -> str:
 def read_corpus(spark: SparkSession, root: str, glob: str = "*", protected: tuple[str, ...] = ("data",)) -> DataFrame:
     """Whole text files below ``root``: ``path, text``; files under a protected directory are refused or left out."""
     guard_path(root, protected)
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*protected)))
 
