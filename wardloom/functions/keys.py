@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Blanks as a character class: ASCII ones, no-break and typographic spaces, zero-width marks.
 BLANKS = r"\s\u00A0\u2000-\u200B\u202F\u2060\u3000\uFEFF"
 
+#: The same one by one.
+_BLANK_CHARS = " \t\n\x0b\f\r\u00a0\u202f\u2060\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,26 +23,28 @@ def _col(c: str | Column) -> Column:
 
 def trim_blanks(c: str | Column) -> Column:
     """``c`` without blanks of any kind at its ends."""
-    return F.regexp_replace(_col(c), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.btrim(_col(c), F.lit(_BLANK_CHARS))
 
 
 def id_key(c: str | Column) -> Column:
     """Upper-case id without outer blanks; null for a null or blank id."""
-    t = F.upper(trim_blanks(c))
-    return F.when(t != "", t)
+    return F.nullif(F.upper(trim_blanks(c)), F.lit(""))
 
 
 def kind_key(c: str | Column) -> Column:
     """Lower-case kind without outer blanks; null for a null or blank one."""
-    t = F.lower(trim_blanks(c))
-    return F.when(t != "", t)
+    return F.nullif(F.lower(trim_blanks(c)), F.lit(""))
 
 
 def name_key(c: str | Column) -> Column:
-    """Key of a place or an activity; null for a null or blank one."""
-    t = F.regexp_replace(_col(c), "(?<![0-9])0+(?=[0-9])", "")
-    t = F.lower(F.regexp_replace(t, f"[{BLANKS}/_-]+", ""))
-    return F.when(t != "", t)
+    """Key of a place or an activity; null for a null or blank one.
+
+    Zeros are looked for before separators go, since those may stand between two numbers; only a
+    text with a zero pays for the regular expression.
+    """
+    c = _col(c)
+    t = F.when(F.contains(c, F.lit("0")), F.regexp_replace(c, "(?<![0-9])0+(?=[0-9])", "")).otherwise(c)
+    return F.nullif(F.lower(F.translate(t, _BLANK_CHARS + "/_-", "")), F.lit(""))
 
 
 # The same rules as SQL text for DuckDB (RE2 has no look-behind: the digit before is captured).

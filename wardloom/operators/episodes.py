@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.operators.ordered import from_micros, micros
-from wardloom.operators.sharded import neighbour, running_count, time_block
+from wardloom.operators.sharded import shard, time_block, with_neighbour, with_running_count
 from wardloom.session import small_side
 
 
@@ -43,11 +43,11 @@ def dwell_runs(events: DataFrame, params: EpisodeParams = EpisodeParams()) -> Da
     gap = round(params.max_gap_s * 1_000_000)
     x = events.where(
         (F.col("subject_kind") == "clinician") & (F.col("confidence") >= params.min_confidence) & F.col("subject").isNotNull() & F.col("place").isNotNull() & F.col("event_ts").isNotNull()
-    ).select("seq", "event_ts", "subject", "place", F.coalesce("activity", F.lit("")).alias("activity"), "confidence", micros("event_ts").alias("t"))
-    order, block = ["t", "seq"], time_block("event_ts")
-    x = neighbour(x, ["subject"], order, block, {"p_place": "place", "p_t": "t"})
+    ).select("seq", "subject", "place", F.coalesce("activity", F.lit("")).alias("activity"), "confidence", micros("event_ts").alias("t"))
+    order = ["t", "seq"]
+    x = with_neighbour(shard(x, ["subject"], time_block("t")), ["subject"], order, {"p_place": "place", "p_t": "t"})
     apart = F.coalesce((F.col("place") != F.col("p_place")) & (F.col("t") - F.col("p_t") > gap), F.lit(False))
-    x = running_count(x, ["subject"], order, block, apart, "shard")
+    x = with_running_count(x, ["subject"], order, apart, "shard").select("seq", "subject", "place", "activity", "confidence", "t", "shard")
     w = Window.partitionBy("subject", "shard").orderBy(*order)
     moved = F.lag("place").over(w).isNull() | (F.lag("place").over(w) != F.col("place"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions.keys import id_key, kind_key, name_key
 from wardloom.operators.ordered import micros
-from wardloom.operators.sharded import neighbour, number_block, time_block
+from wardloom.operators.sharded import neighbour, number_block
 from wardloom.session import small_side
 
 #: Prefix of a place that no mapping tier knows, and the confidence of the three tiers.
@@ -23,7 +23,8 @@ def typed_events(df: DataFrame) -> DataFrame:
 
     Rows without subject or time are kept; later operators say what they do with them.
     """
-    activity = F.regexp_replace(F.lower(F.trim("activity")), r"[\s/_-]+", "_")
+    flat = F.translate(F.lower(F.trim("activity")), " \t/-", "____")
+    activity = F.when(F.contains(flat, F.lit("__")), F.regexp_replace(flat, "_+", "_")).otherwise(flat)
     confidence = F.when(F.col("confidence").isNull() | F.isnan("confidence"), 1.0).otherwise(F.col("confidence"))
     return df.select(
         "seq", "event_ts", kind_key("subject_kind").alias("subject_kind"), id_key("subject").alias("subject"),
@@ -93,7 +94,7 @@ def ingestion_report(events: DataFrame, duplicate_window_s: float = 10, block_wi
     before and at most ``duplicate_window_s`` seconds between. ``n_quarantined`` counts places that
     no tier knows. Rows without subject group under null.
     """
-    x = events.withColumn("_t", micros("event_ts"))
+    x = events.select("seq", "subject_kind", "subject", "activity", "place", micros("event_ts").alias("_t"))
     take = {"_pt": "_t", "_pa": "activity", "_pp": "place"}
     x = neighbour(x, ["subject_kind", "subject"], ["seq"], number_block("seq", block_width), take)
     late = F.col("_t") < F.col("_pt")
@@ -125,7 +126,3 @@ def event_log(events: DataFrame) -> DataFrame:
     return events.where("subject is not null and activity is not null and event_ts is not null").select(
         F.col("subject").alias("case_id"), "activity", "event_ts", "seq", F.col("place").alias("resource")
     )
-
-
-def hour_block() -> Column:
-    return time_block("event_ts")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardloom.operators.ordered import micros
 from wardloom.operators.sharded import neighbour, time_block
 from wardloom.session import bounded_rows, small_side
 
@@ -18,18 +19,23 @@ class EmptyLog(ValueError):
     pass
 
 
+def _with_next(log: DataFrame, block: Column | None) -> DataFrame:
+    x = log.select("case_id", "activity", micros("event_ts").alias("_t"), "seq")
+    return neighbour(x, ["case_id"], ["_t", "seq"], block if block is not None else time_block("_t"), {"_n": "activity"}, back=False)
+
+
 def follows(log: DataFrame, block: Column | None = None) -> DataFrame:
     """Each event with the activity after it in its case, ``__end__`` for the last: ``case_id, activity, next``.
 
     Cases are ordered by time, then seq; a long case is worked on in blocks of time.
     """
-    x = neighbour(log, ["case_id"], ["event_ts", "seq"], block if block is not None else time_block("event_ts"), {"_n": "activity"}, back=False)
+    x = _with_next(log, block)
     return x.select("case_id", "activity", F.coalesce("_n", F.lit(END)).alias("next"))
 
 
 def dfg(log: DataFrame) -> DataFrame:
     """Directly-follows counts ``a, b, n`` with ``__start__`` and ``__end__`` edges."""
-    x = neighbour(log, ["case_id"], ["event_ts", "seq"], time_block("event_ts"), {"_n": "activity"}, back=False)
+    x = _with_next(log, None)
     firsts = log.groupBy("case_id").agg(F.min_by("activity", F.struct("event_ts", "seq")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     inner = x.groupBy(F.col("activity").alias("a"), F.coalesce("_n", F.lit(END)).alias("b")).agg(F.count("*").alias("n"))
     return inner.unionByName(firsts.select(F.lit(START).alias("a"), "b", "n"))
