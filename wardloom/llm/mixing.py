@@ -115,7 +115,7 @@ def mix_sources(
     source: str = "source",
     share: str = "target_share",
     repeats: str = "max_repeats",
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     seed: int = 17,
     path: str = TOKENIZERS,
     vocabulary: str = VOCABULARY,
@@ -130,8 +130,9 @@ def mix_sources(
     Shares are those of the targets whose source has tokens, scaled to sum to 1 (a source without
     any can't be had: note ``no records``; one that isn't a target, has no share or no repeats is
     left out: note ``no target``). Without ``total_tokens`` the mix is as large as it can be with
-    every share met: the least of repeats x tokens / share. With it, a source that can't give its
-    part gives all it may (note ``short``). A record's uses differ by at most one within a source:
+    every share met: the least of repeats x tokens / share. With it (``"all"`` stands for all tokens
+    of the target sources), a source that can't give its part gives all it may (note ``short``), and
+    the others give theirs, so that reached shares differ from the targets. A record's uses differ by at most one within a source:
     all records are used budget // tokens times, and some once more.
 
     Records with null, or no, tokens or a null source are never drawn. Source names are compared
@@ -151,6 +152,8 @@ def mix_sources(
     usable = {r[0]: (float(r[1]), int(r[2])) for r in rows if r[0] in have and (r[1] or 0) > 0 and (r[2] or 0) > 0}
     scale = sum(s for s, _ in usable.values())
     most = {k: n * have[k]["available_tokens"] for k, (_, n) in usable.items()}
+    if total_tokens == "all":
+        total_tokens = sum(have[k]["available_tokens"] for k in usable)
     total = total_tokens if total_tokens is not None else min((int(most[k] / (s / scale)) for k, (s, _) in usable.items()), default=0)
     plan = []
     for k, (s, _) in sorted(usable.items()):

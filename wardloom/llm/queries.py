@@ -80,6 +80,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1].withColumn("reached_share", F.round("reached_share", 9))
 
 
+def p9_full_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), total_tokens="all")[0]
+
+
+def p9_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), total_tokens="all")[1]
+    return got.withColumn("reached_share", F.round("reached_share", 9))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), texts=False)
 
@@ -101,6 +110,8 @@ QUERIES: dict[str, Query] = {
     "p8_documents": p8_documents,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_full_mix": p9_full_mix,
+    "p9_full_shares": p9_full_shares,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
