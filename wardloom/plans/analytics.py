@@ -302,4 +302,19 @@ select vec_id, arg_min(i, (d, i))::int as centre, round(sqrt(min(d)), 5) as dist
 p as (select q.vec_id as query, r.vec_id as neighbour, list_cosine_similarity(q.v, r.v) as s from v q, v r where q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
 select query, neighbour, row_number() over (partition by query order by round(2 - 2 * s, 12), neighbour)::int as rank, round(s, 5) as similarity from p
 qualify row_number() over (partition by query order by round(2 - 2 * s, 12), neighbour) <= 10""",
+    "trace_text": f"""with {STAYS},
+x as (select *, start::date as day, split_part(bed, '/', 1) as ward, split_part(bed, '/', 2) || ' ' || case when dwell_s < 300 then 'brief' when dwell_s < 600 then 'short'
+  when dwell_s < 1200 then 'medium' when dwell_s < 2400 then 'long' else 'extended' end as step from stays),
+one as (select day, ward, clinician, string_agg(step, ' ' order by start, bed, step) as text, min(start) as first from x group by 1, 2, 3),
+num as (select *, row_number() over (partition by day, ward order by first, clinician) as i from one)
+select day, ward, string_agg('round ' || i || ': ' || text, ' ; ' order by i) as trace from num group by 1, 2""",
 }
+SQL["coverage_by_strategy"] = f"""with boot as ({SQL["coverage_bootstrap"].replace("round(sum(hits) / nullif(sum(n_patients), 0), 6)", "sum(hits) / nullif(sum(n_patients), 0)")}),
+bs as (select strategy, count(*) as usable, quantile_cont(coverage, 0.025) as lo, quantile_cont(coverage, 0.975) as hi from boot where coverage is not null group by 1),
+u as ({SQL["coverage_units"]}),
+pool as (select strategy, sum(n_patients)::bigint as n, sum(n_covered)::bigint as k, count(*) as n_ward_days from u group by 1)
+select strategy, n, k, n_ward_days, case when n > 0 and usable >= 2 then round(k / n, 6) end as coverage,
+  case when n > 0 and usable >= 2 then round(least({_wilson_sql("k", "n", "-")}, lo), 6) end as ci_low,
+  case when n > 0 and usable >= 2 then round(greatest({_wilson_sql("k", "n", "+")}, hi), 6) end as ci_high,
+  case when n = 0 then 'nobody needs two specialties' when usable is null or usable < 2 then 'too few replicates' end as refused
+from pool left join bs using (strategy)"""

@@ -251,6 +251,26 @@ with {EVENTS}, log as (
 dfg as (select a, b, count(*) as n from f group by 1, 2 union all select '{P.START}', a, count(*) from f where first group by a)
 """
 
+#: Replay of stays on the heuristic model of their own log.
+_REPLAY = (
+    _LOG.rstrip()
+    + f""",
+slog as (select case_id || '|' || resource || '|' || event_ts::date as case_id, activity, event_ts, seq from log where resource is not null),
+sf as (select case_id, activity as a, coalesce(lead(activity) over w, '{P.END}') as b, lag(activity) over w is null as first from slog window w as (partition by case_id order by event_ts, seq)),
+sdfg as (select a, b, count(*) as n from sf group by 1, 2 union all select '{P.START}', a, count(*) from sf where first group by a),
+dep as (select e.a, e.b, e.n, case when e.a = e.b then e.n / (e.n + 1) else (e.n - coalesce(r.n, 0)) / (e.n + coalesce(r.n, 0) + 1) end as v from sdfg e left join sdfg r on r.a = e.b and r.b = e.a),
+arcs as (select distinct a, b from (select a, b from dep where a = '{P.START}' or b = '{P.END}' or v >= 0.5
+  union all select a, b from (select *, row_number() over (partition by a order by n desc, b desc) as k from sdfg) where k = 1)),
+known as (select a as x from arcs union select b from arcs),
+steps as (select case_id, a, b from sf union all select case_id, '{P.START}', a from sf where first),
+judged as (select s.*, s.b not in (select x from known) as strange, arcs.a is null as off, s.a in (select a from arcs) as leaves from steps s left join arcs on arcs.a = s.a and arcs.b = s.b),
+played as (
+  select case_id, count(*)::int as produced, count(*)::int as consumed, (count(*) filter (strange or off))::int as missing,
+    count(*) filter (b <> '{P.END}' and (strange or (off and leaves))) as problems from judged group by 1
+)
+"""
+)
+
 _BED_NAMES = "[" + ", ".join(f"'{b}'" for b in LAYOUT.bed_names()) + "]"
 _VISITS = f"""
 v as (
@@ -355,4 +375,13 @@ best as (select lex.query_id, min(lex.rank) as best from lex join doc_chunk c on
   and c.start_line <= gold.end_line and c.end_line >= gold.start_line group by 1)
 select count(*) as n_queries, round(avg((coalesce(best, 21) <= 5)::int), 6) as recall, round(avg(coalesce(1.0 / best, 0.0)), 6) as mrr
 from (select distinct item_id as query_id from eval_item) left join best using (query_id)""",
+    "token_replay_cases": _REPLAY
+    + """select case_id, produced, consumed, missing, missing as remaining, round(0.5 * (1 - missing / consumed) + 0.5 * (1 - missing / produced), 6)::double as fitness,
+  case when problems > 0 then 'deviating' when missing > 0 then 'missing-data' else 'clean' end as bucket from played""",
+    "log_fitness": _REPLAY
+    + """select count(*) as n_cases, count(*) filter (problems > 0) as n_deviating, count(*) filter (problems = 0 and missing > 0) as n_missing_data,
+  round(0.5 * (1 - sum(missing) / sum(consumed)) + 0.5 * (1 - sum(missing) / sum(produced)), 6)::double as fitness from played""",
+    "model_precision": _REPLAY
+    + """select round(1 - sum(w * (n_allowed - n_seen)) / sum(w * n_allowed), 6)::double as precision from
+(select a, count(*) as n_allowed from arcs group by 1) join (select a, count(*) as n_seen, sum(n) as w from sdfg where (a, b) in (select (a, b) from arcs) group by 1) using (a)""",
 }

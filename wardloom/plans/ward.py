@@ -165,6 +165,11 @@ moves as (
   from ev where subject is not null and place is not null window w as (partition by subject_kind, subject order by seq)
 )"""
 
+def _pad(byte: int) -> str:
+    """Padded key of the HMAC as hex digits."""
+    return bytes(b ^ byte for b in SALT.ljust(64, b"\0")).hex()
+
+
 SQL: dict[str, str] = {
     "scan_events_typed": f"with {EVENTS} select seq, event_ts, subject_kind, subject, activity, location, source, confidence from ev",
     "location_map_tiers": f"with {EVENTS} select place, place_confidence, count(*) as n_events from ev group by 1, 2",
@@ -196,4 +201,40 @@ from m4 where strategy = 'union' and len(satisfied) >= 2""",
     + """select strategy, bed, patient, start, "end", array_to_string(present, ',') as present, array_to_string(satisfied, ',') as satisfied
 from m4 where len(satisfied) >= 2""",
     "travel_cost": f"with {COSTS} select a, b, round(metres, 6) as metres, round(seconds, 6) as seconds from cost",
+    "pseudonymise_subjects": f"""with {EVENTS}, s as (select distinct subject_kind, subject from ev where subject is not null)
+select subject_kind, subject, sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(subject))))[1:16] as pseudonym from s""",
+    "travel_nodes": f"""with {_bed_sql(G.Layout())}, w as (select distinct ward, floor, i from bed_geo)
+select bed as id, 'bed' as kind, (32.0 * i + x)::double as x, floor * 4.2::double as y, z::double as z from bed_geo
+union all select ward || '/CORRIDOR', 'corridor', (32.0 * i - 6)::double, floor * 4.2::double, 0.0::double from w
+union all select distinct 'FLOOR' || floor || '/LIFT', 'lift', -16.0::double, floor * 4.2::double, 0.0::double from w
+union all select distinct 'FLOOR' || floor || '/STAIR', 'stair', -20.0::double, floor * 4.2::double, 0.0::double from w""",
+    "travel_edges": f"""with {_bed_sql(G.Layout())}, w as (select distinct ward, floor, i from bed_geo), f as (select distinct floor from w), e as (
+  select bed as a, ward || '/CORRIDOR' as b, sqrt(power(x + 6, 2) + z * z) as m, sqrt(power(x + 6, 2) + z * z) / 1.2 as s from bed_geo
+  union all select ward || '/CORRIDOR', 'FLOOR' || floor || '/LIFT', 32 * i + 10, (32 * i + 10) / 1.2 from w
+  union all select ward || '/CORRIDOR', 'FLOOR' || floor || '/STAIR', 32 * i + 14, (32 * i + 14) / 1.2 from w
+  union all select 'FLOOR' || p.floor || '/LIFT', 'FLOOR' || q.floor || '/LIFT', 4.2 * (q.floor - p.floor), 4.2 * (q.floor - p.floor) + 45 from f p join f q on p.floor < q.floor
+  union all select 'FLOOR' || p.floor || '/STAIR', 'FLOOR' || q.floor || '/STAIR', 4.2 * (q.floor - p.floor), 8.4 * (q.floor - p.floor) from f p join f q on p.floor < q.floor
+) select a, b, round(m, 6)::double as metres, round(s, 6)::double as seconds from e""",
+    "opportunistic_candidates": f"""with {STAYS}, {CLAIMS}, {_bed_sql(LAYOUT)}, {_TRANSITIONS},
+g as (select *, sqrt(power(x + 6, 2) + z * z) as d from bed_geo),
+near as (
+  select o.bed as origin, q.bed as destination, x.bed, least(
+    case when x.bed = o.bed then 0.0 when x.ward = o.ward then x.d else 1e9 end, case when x.bed = q.bed then 0.0 when x.ward = q.ward then x.d else 1e9 end,
+    case when o.ward <> q.ward and o.floor = q.floor and x.floor = o.floor then 32 * x.i + 10 + x.d else 1e9 end) as metres
+  from g o, g q, g x where o.bed <> q.bed
+),
+skills as (select clinician, list_distinct(flatten(list(specialties))) as skills from stays group by 1),
+beds as (select distinct bed, patient from stays where patient is not null),
+seen as (select distinct clinician, patient from stays where patient is not null),
+m as (
+  select subject as clinician, b.patient, b.bed, m.seq, arrived_at, departed_at, metres, list_intersect(required, skills) as needed from moves m
+  join near n on n.origin = m.origin and n.destination = m.destination and metres <= 15 join beds b on b.bed = n.bed join skills on skills.clinician = m.subject
+  join required r on r.patient = b.patient and r.strategy = 'union' where m.subject_kind = 'clinician' and m.origin <> m.destination
+),
+gaps as (
+  select m.*, (select min(greatest(0, epoch_us(e.start) - epoch_us(m.arrived_at), epoch_us(m.departed_at) - epoch_us(e."end"))) / 1e6 from stays e where e.bed = m.bed and e.patient = m.patient) as gap_s
+  from m where len(needed) > 0 and not exists (select 1 from seen s where s.clinician = m.clinician and s.patient = m.patient)
+)
+select clinician, patient, bed, seq, unnest(needed) as specialty, arrived_at as at, round(metres, 4)::double as proximity_m, round(gap_s, 4) as gap_s,
+  round(greatest(0, 1 - metres / 15) * greatest(0, 1 - gap_s / 300), 4)::double as confidence from gaps where gap_s <= 300""",
 }
