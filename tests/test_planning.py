@@ -222,3 +222,24 @@ def test_work_graph(spark):
     assert [r.depends_on for r in W.missing_dependencies(items, edges).collect()] == ["gone"]
     assert {r.item for r in W.on_cycles(edges).collect()} == {"c", "d"}
     assert [r.item for r in W.runnable(items, edges).collect()] == ["b"]
+
+
+def test_stored_index_and_evaluation(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", "# lifts\nthe lift is slow\n# stairs\nthe stairs are quick"), ("b.md", "nothing of note")], "path string, text string")
+    R.write_index(R.chunk_texts(df, "path", "text"), str(tmp_path / "ix"))
+    chunks, stats, vectors = R.load_index(spark, str(tmp_path / "ix"))
+    assert (stats.first().n_chunks, stats.first().n_files, vectors) == (3, 2, None)
+    (tmp_path / "q.json").write_text('[{"id": 1, "query": "slow lift", "relevant": [{"path": "a.md", "start_line": 2, "end_line": 2}]}, {"id": 2, "query": "zebra"}]')
+    queries, relevant = R.load_queries(spark, str(tmp_path / "q.json"))
+    assert R.search(chunks, queries, 1).first().doc_id == "a.md:1-2"
+    dense = spark.createDataFrame([("1", "b.md:1-1", 1), ("1", "a.md:1-2", 2)], "query_id string, doc_id string, rank int")
+    got = {r.retriever: (r.n_queries, r.recall, r.mrr) for r in R.evaluate(chunks, queries, relevant, dense).collect()}
+    assert got == {"lexical": (2, 0.5, 0.5), "vector": (2, 0.5, 0.25), "hybrid": (2, 0.5, 0.5)}
+
+
+def test_clock_and_levels(spark):
+    v = spark.createDataFrame([(1, "A", "p", 3, 2, T0.date())], PLAN + ", day date")
+    r = S.to_clock(v, "day").first()
+    assert (r.start, r.seconds) == (T0 + timedelta(minutes=15), 600)
+    t = spark.createDataFrame([("motion_m", 10.0, 50.0)], "objective string, ideal double, nadir double")
+    assert [r.bound for r in S.grid_levels(t).orderBy("level").collect()] == [50.0, 40.0, 30.0, 20.0, 10.0]

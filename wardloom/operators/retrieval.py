@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardloom.session import small_side
+from wardloom.session import local_table, small_side
 
 # BM25 parameters, fusion constant and depth.
 K1, B, RRF_K, DEPTH = 1.5, 0.75, 60, 50
@@ -221,3 +224,59 @@ def hashed_vectors(df: DataFrame, key: str, text: str, width: int = 64) -> DataF
     s = t.groupBy(key, "slot").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
     m = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return m.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest(F.col("norm"), F.lit(1e-12))).alias("v"))
+
+
+# Stored index, search and evaluation.
+def write_index(chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
+    """Chunks as Parquet below ``path``, one row of statistics beside them and, if given, vectors (``id, v``)."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    stats = chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct("path").alias("n_files"), F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col("text"), F.lit(""))))), F.lit(0)).alias("n_tokens"))
+    stats.withColumn("version", F.lit(1)).write.mode("overwrite").parquet(f"{path}/stats")
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Chunks, statistics and vectors (None where there are none) of a stored index."""
+    try:
+        vectors = spark.read.parquet(f"{path}/vectors")
+    except AnalysisException:
+        vectors = None
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/stats"), vectors
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = 8, dense: DataFrame | None = None) -> DataFrame:
+    """Ranking of ``chunks(id, heading_path, text)`` for ``queries(query_id, query)``: fused with ``dense(query_id, doc_id, rank)`` if given, else lexical only."""
+    lexical = top_k(bm25_scores(chunks, queries, "id", "heading_path", "text", "query_id", "query"), k if dense is None else DEPTH)
+    return lexical if dense is None else rrf_fuse(lexical, dense, k)
+
+
+def evaluate(chunks: DataFrame, queries: DataFrame, relevant: DataFrame, dense: DataFrame | None = None, k: int = 5, search_k: int = 20) -> DataFrame:
+    """Recall and reciprocal rank of the lexical ranking and, with ``dense``, of the vector and the fused one: a row each."""
+    place = chunks.select(F.col("id").alias("doc_id"), "path", "start_line", "end_line")
+    found = {"lexical": search(chunks, queries, search_k)}
+    if dense is not None:
+        found |= {"vector": dense, "hybrid": search(chunks, queries, search_k, dense)}
+    out = None
+    for name, ranked in found.items():
+        row = retrieval_scores(ranked, relevant, place, queries, k, search_k).withColumn("retriever", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("retriever", "n_queries", "recall", "mrr")
+
+
+def load_queries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled queries of a YAML (or JSON) file: ``queries(query_id, query, note)`` and ``relevant(query_id, path, start_line, end_line)``.
+
+    The file holds a list of entries, or a map with one under ``queries``: id, query, note and relevant spans.
+    """
+    raw = Path(path).read_text(encoding="utf-8")
+    try:
+        entries = json.loads(raw)
+    except ValueError:
+        import yaml  # only needed for YAML
+
+        entries = yaml.safe_load(raw)
+    entries = entries["queries"] if isinstance(entries, dict) else entries
+    q = [(str(e["id"]), e["query"], e.get("note")) for e in entries]
+    spans = [(str(e["id"]), r["path"], int(r["start_line"]), int(r["end_line"])) for e in entries for r in e.get("relevant", [])]
+    return local_table(spark, q, "query_id string, query string, note string"), local_table(spark, spans, "query_id string, path string, start_line int, end_line int")

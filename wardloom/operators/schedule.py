@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardloom.operators.geometry import with_cost
+from wardloom.operators.ordered import from_micros
 from wardloom.session import small_side
 
 #: Objectives and whether more is better.
@@ -267,3 +268,16 @@ def uncoverable(clinicians: DataFrame, patients: DataFrame) -> DataFrame:
     """Required specialties that no clinician holds."""
     need = patients.select("patient", F.explode("required").alias("specialty")).distinct()
     return need.join(small_side(clinicians.select(F.explode("specialties").alias("specialty")).distinct()), "specialty", "left_anti")
+
+
+def to_clock(v: DataFrame, day: str, first_hour: int = 8, slot_s: int = SLOT_S) -> DataFrame:
+    """Visits with ``start`` and ``seconds`` on the wall clock of their ``day`` column."""
+    start = F.unix_date(day).cast("bigint") * 86400 + first_hour * 3600 + F.col("start_slot") * slot_s
+    return v.withColumns({"start": from_micros(start * 1_000_000), "seconds": F.col("duration").cast("bigint") * slot_s})
+
+
+def grid_levels(table: DataFrame, steps: int = 4) -> DataFrame:
+    """``objective, level, bound``: evenly spaced bounds from nadir to ideal, for an epsilon sweep over a payoff table."""
+    levels = F.sequence(F.lit(0), F.lit(steps))
+    x = table.select("objective", "ideal", "nadir", F.explode(levels).alias("level"))
+    return x.select("objective", "level", (F.col("nadir") + (F.col("ideal") - F.col("nadir")) * F.col("level") / steps).alias("bound"))
