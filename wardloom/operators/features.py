@@ -102,44 +102,92 @@ def _nearest(v: Column, centres: list[list[float]]) -> tuple[Column, Column]:
     return (F.array_position(all_d, low) - 1).cast("int"), low
 
 
+def _distances(pdf: pd.DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of a batch, the index of each one's nearest centre (lowest of equals) and the squared distance."""
+    m = np.array(pdf["v"].tolist(), dtype=float).reshape(len(pdf), centres.shape[1])
+    d = np.maximum((m * m).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * m @ centres.T, 0).round(9)
+    label = d.argmin(1)
+    return m, label, d[np.arange(len(m)), label]
+
+
+def _furthest(df: DataFrame, key: list[str], centres: list[list[float]]) -> list[float]:
+    """The row furthest from all centres (ties by key): each partition offers one, the best of those is taken."""
+    c = np.array(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf.assign(d=_distances(pdf, c)[2])
+                top = pdf[pdf["d"] == pdf["d"].max()].sort_values(key).head(1)
+                best = top if best is None else pd.concat([best, top]).sort_values(["d", *key], ascending=[False, *[True] * len(key)]).head(1)
+        if best is not None:
+            yield best[[*key, "v", "d"]]
+
+    kinds = ", ".join(f"{n} {t}" for n, t in df.select(*key).dtypes)
+    offers = df.select(*key, "v").mapInPandas(run, f"{kinds}, v array<double>, d double")
+    return list(offers.orderBy(F.desc("d"), *key).limit(1).first()["v"])
+
+
 def furthest_first(df: DataFrame, key: list[str], k: int) -> list[list[float]]:
     """k starting centres: the row of the smallest key, then always the row furthest from all so far (ties by key)."""
     centres = [list(df.agg(F.min_by("v", F.struct(*key))).first()[0])]
     while len(centres) < k:
-        _, d = _nearest(F.col("v"), centres)
-        order = F.struct(d.alias("d"))
-        top = df.select(*key, "v", order.alias("o")).orderBy(F.desc("o.d"), *key).limit(1).first()
-        centres.append(list(top["v"]))
+        centres.append(_furthest(df, key, centres))
     return centres
 
 
+def _centre_sums(df: DataFrame, centres: list[list[float]]) -> dict[int, list[float]]:
+    """Mean of the rows nearest to each centre: partial sums in each partition, k vectors to the driver."""
+    c = np.array(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros_like(c), np.zeros(len(c))
+        for pdf in batches:
+            if len(pdf):
+                m, label, _ = _distances(pdf, c)
+                np.add.at(total, label, m)
+                n += np.bincount(label, minlength=len(c))
+        used = np.flatnonzero(n)
+        yield pd.DataFrame({"label": used, "n": n[used], "s": list(total[used])})
+
+    part = df.select("v").mapInPandas(run, "label int, n double, s array<double>")
+    sums = part.select("label", "n", F.posexplode("s").alias("i", "x")).groupBy("label", "i").agg((F.sum("x") / F.sum("n")).alias("mean"))
+    out: dict[int, list[float]] = {}
+    for r in sums.orderBy("label", "i").collect():
+        out.setdefault(r["label"], []).append(r["mean"])
+    return out
+
+
 def kmeans(df: DataFrame, key: list[str], k: int, max_iterations: int = 100, least: int = MIN_WARD_DAYS) -> tuple[DataFrame, list[list[float]]]:
     """Lloyd's algorithm on column ``v``: ``key..., label, distance`` and the centres.
 
-    Each step is one aggregation over the rows with centres as literals; only k sums come back. An
-    emptied cluster takes the row furthest from its centre. Stops when the centres stay.
+    Each step is one pass with partial sums on the executors; only k vectors come back. An emptied
+    cluster takes the row furthest from all centres. Stops when the centres, to nine places, stay.
+    Rows with a null vector are left out.
     """
+    df = df.where("v is not null").select(*key, F.col("v").cast("array<double>").alias("v"))
     n = df.count()
     if n < least:
         raise InsufficientWardDays(f"{n} rows; clustering needs {least}")
-    width = len(df.select("v").first()["v"])
     centres = furthest_first(df, key, k)
     for _ in range(max_iterations):
-        label, d = _nearest(F.col("v"), centres)
-        sums = df.withColumns({"label": label, "d": d}).groupBy("label").agg(*(F.avg(F.col("v")[i]).alias(f"a{i}") for i in range(width)))
-        got = {r["label"]: [r[f"a{i}"] for i in range(width)] for r in sums.collect()}
-        spare = None
-        new = []
-        for i in range(k):
-            if i not in got:
-                spare = spare or df.select("v", d.alias("d"), *key).orderBy(F.desc("d"), *key).limit(1).first()["v"]
-                got[i] = list(spare)
-            new.append([round(x, 9) for x in got[i]])
+        got = _centre_sums(df, centres)
+        spare = _furthest(df, key, centres) if len(got) < k else None
+        new = [[round(x, 9) for x in got.get(i, spare)] for i in range(k)]
         if new == centres:
             break
         centres = new
-    label, d = _nearest(F.col("v"), centres)
-    return df.select(*key, label.alias("label"), F.sqrt(d).alias("distance")), centres
+    c = np.array(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                _, label, d = _distances(pdf, c)
+                yield pdf[key].assign(label=label, distance=np.sqrt(d))
+
+    kinds = ", ".join(f"{x} {t}" for x, t in df.select(*key).dtypes)
+    return df.mapInPandas(run, f"{kinds}, label int, distance double"), centres
 
 
 def top_neighbours(rows: DataFrame, queries: DataFrame, key: str, k: int = 5, cosine: bool = False, block: int = 2048, drop_self: bool = True) -> DataFrame:

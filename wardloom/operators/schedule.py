@@ -246,9 +246,11 @@ def payoff(scored: DataFrame, senses: dict[str, bool] = SENSES) -> DataFrame:
     return scored.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def allowed_starts(clinicians: DataFrame, patients: DataFrame, available: DataFrame, off: DataFrame, n_slots: int, duration: int) -> DataFrame:
+def allowed_starts(clinicians: DataFrame, patients: DataFrame, available: DataFrame, off: DataFrame, n_slots: int, duration: int, as_rows: bool = True) -> DataFrame:
     """``patient, clinician, specialty, start_slot``: holders of a required specialty and starts whose whole footprint is free.
 
+    Without ``as_rows`` the starts of each holder come as one array ``starts``.
+
     ``clinicians(clinician, specialties)``, ``patients(patient, required)``; slots that a clinician
     has in ``available`` and a patient hasn't in ``off``.
     """
@@ -257,10 +259,12 @@ def allowed_starts(clinicians: DataFrame, patients: DataFrame, available: DataFr
     starts = F.sequence(F.lit(0), F.lit(n_slots - duration))
     free_c = available.groupBy("clinician").agg(F.collect_set("slot").alias("slots"))
     free_c = free_c.select("clinician", F.filter(starts, lambda s: F.forall(F.sequence(s, s + duration - 1), lambda t: F.array_contains("slots", t))).alias("cs"))
-    off_p = off.groupBy("patient").agg(F.collect_set("slot").alias("off"))
+    blocked = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("slot") - duration + 1, F.col("slot")))))
+    off_p = off.groupBy("patient").agg(blocked.alias("off"))  # starts whose footprint meets an off-ward slot
     pairs = need.join(small_side(holders), "specialty").join(small_side(free_c), "clinician").join(small_side(off_p), "patient", "left")
-    blocked = F.coalesce("off", F.array().cast("array<int>"))
-    ok = F.filter("cs", lambda s: ~F.exists(F.sequence(s, s + duration - 1), lambda t: F.array_contains(blocked, t)))
+    ok = F.when(F.col("off").isNull(), F.col("cs")).otherwise(F.array_except("cs", "off"))
+    if not as_rows:
+        return pairs.select("patient", "clinician", "specialty", ok.alias("starts")).where(F.size("starts") > 0)
     return pairs.select("patient", "clinician", "specialty", F.explode(ok).alias("start_slot"))
 
 

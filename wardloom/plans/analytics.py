@@ -24,7 +24,8 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _stays(spark: SparkSession, d: str) -> DataFrame:
-    return views.stays(spark, d)
+    """Episodes written once: the queries below read them several times."""
+    return cut(views.stays(spark, d))
 
 
 def modal_ward(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def motion_observed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_report(spark: SparkSession, d: str) -> DataFrame:
-    return M.motion_report(cut(_motion_stays(spark, d)), LAYOUT, G.costs(spark, LAYOUT), PARAMS)
+    return M.motion_report(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), PARAMS)
 
 
 def suppression_floor(spark: SparkSession, d: str) -> DataFrame:

@@ -182,8 +182,8 @@ def payoff_table(spark: SparkSession, d: str) -> DataFrame:
 def allowed_starts(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "clinician_roster").where(F.size("specialties") > 0)
     need = views.required(spark, d, "union").where(F.size("required") >= 2)
-    got = S.allowed_starts(r, need, _availability(spark, d), _off(spark, d), N_SLOTS, 3)
-    return got.groupBy("patient", "specialty").agg(F.count_distinct("clinician").alias("n_clinicians"), F.count("*").alias("n_starts"))
+    got = S.allowed_starts(r, need, _availability(spark, d), _off(spark, d), N_SLOTS, 3, as_rows=False)
+    return got.groupBy("patient", "specialty").agg(F.count_distinct("clinician").alias("n_clinicians"), F.sum(F.size("starts")).alias("n_starts"))
 
 
 # Retrieval.

@@ -12,7 +12,7 @@ from wardloom.operators import ingest as I
 from wardloom.operators import moments as M
 from wardloom.plans import views
 from wardloom.plans.views import CLAIMS, EVENTS, LAYOUT, RECOGNISED, RUNS, STAYS
-from wardloom.session import Query, table
+from wardloom.session import Query, cut, table
 
 SALT = b"wardloom-demo-salt"
 
@@ -98,7 +98,7 @@ def mdt_moments(spark: SparkSession, d: str) -> DataFrame:
 
 def opportunistic_candidates(spark: SparkSession, d: str) -> DataFrame:
     n = M.near_misses(
-        I.transitions(views.events(spark, d)), views.stays(spark, d), views.required(spark, d, "union"), G.passed_beds(spark, LAYOUT, 15.0)
+        I.transitions(views.events(spark, d)), cut(views.stays(spark, d)), views.required(spark, d, "union"), G.passed_beds(spark, LAYOUT, 15.0)
     )
     return n.select(
         "clinician", "patient", "bed", "seq", "specialty", "at",
