@@ -317,6 +317,17 @@ ko as (select schedule_id, count(*) / greatest((select count(*) from prev), 1) a
 obj as (select schedule_id, coalesce(copresence, 1.0) as copresence, round(coalesce(motion_m, 0.0), 2) as motion_m, coalesce(disruption, 0) as disruption, coalesce(continuity, 0.0) as continuity, makespan_s
   from ma left join co using (schedule_id) left join mo using (schedule_id) left join di using (schedule_id) left join ko using (schedule_id))
 """
+#: A schedule's front is the length of the longest chain of schedules that dominate one another above it.
+_RANKS = (
+    _OBJ.strip().replace("with ", "with recursive ", 1)
+    + """,
+dom as (select a.schedule_id as a, b.schedule_id as b from obj a, obj b
+  where b.copresence >= a.copresence and b.motion_m <= a.motion_m and b.disruption <= a.disruption and b.continuity >= a.continuity and b.makespan_s <= a.makespan_s
+  and (b.copresence > a.copresence or b.motion_m < a.motion_m or b.disruption < a.disruption or b.continuity > a.continuity or b.makespan_s < a.makespan_s)),
+chain as (select schedule_id, 0 as k from obj union select dom.a, k + 1 from chain join dom on dom.b = chain.schedule_id),
+ranks as (select schedule_id, max(k) as rank from chain group by 1)
+"""
+)
 _BM25 = """
 with docs as (select id as doc_id, regexp_extract_all(lower(coalesce(heading_path, '') || chr(10) || coalesce(text, '')), '[a-z0-9]+') as t from doc_chunk),
 st as (select count(*) as n, avg(len(t)) as avgdl from docs),
@@ -384,4 +395,14 @@ from (select distinct item_id as query_id from eval_item) left join best using (
     "model_precision": _REPLAY
     + """select round(1 - sum(w * (n_allowed - n_seen)) / sum(w * n_allowed), 6)::double as precision from
 (select a, count(*) as n_allowed from arcs group by 1) join (select a, count(*) as n_seen, sum(n) as w from sdfg where (a, b) in (select (a, b) from arcs) group by 1) using (a)""",
+    "front_ranks": _RANKS + "select * from ranks",
+    "crowding": _RANKS
+    + "select schedule_id, rank, case when n <= 2 then 'infinity'::double else round("
+    + " + ".join(
+        f"case when max({c}) over p = min({c}) over p then 0.0 when lag({c}) over w{i} is null or lead({c}) over w{i} is null then 'infinity'::double"
+        f" else (lead({c}) over w{i} - lag({c}) over w{i})::double / (max({c}) over p - min({c}) over p) end"
+        for i, c in enumerate(S.SENSES)
+    )
+    + ", 6) end as sparsity from (select *, count(*) over (partition by rank) as n from ranks join obj using (schedule_id)) window p as (partition by rank), "
+    + ", ".join(f"w{i} as (partition by rank order by {c}, schedule_id)" for i, c in enumerate(S.SENSES)),
 }
