@@ -34,10 +34,36 @@ with c as (
 select chart_id, seq, d from j qualify row_number() over (partition by chart_id order by abs(d), d, seq) = 1
 """
 
+def _plain(c: str) -> str:
+    t = f"replace(strip_accents(lower({c})), 'ß', 'ss')"
+    for _ in range(2):  # matches may not overlap, so neighbours need a second pass
+        t = f"regexp_replace({t}, '(\\p{{L}})[''’](\\p{{L}})', '\\1\\2', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])[.,]([0-9])', '\\1\\2', 'g')"
+    return f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: Stretches as joined grams: an independent way to the same pairs.
+_LEAKS = f"""
+with dw as (select doc_id, row_number() over () as copy, {_plain("text")} as w, regexp_matches(text, '\\p{{Han}}') as han from documents where text is not null),
+iw as (select item_id, lower(trim(lang)) = 'zh' as zh, {_plain("passage")} as w from eval_item),
+iu as (select item_id, zh, case when zh then string_split(array_to_string(w, ''), '') else w end as u, case when zh then 12 else 8 end as m from iw),
+ig as (select item_id, zh, m, len(u) as n, p, array_to_string(u[p:p + m - 1], ' ') as gram from iu, lateral (select unnest(range(1, len(u) - m + 2)) as p)),
+dg as (
+  select doc_id, copy, false as zh, array_to_string(w[p:p + 7], ' ') as gram from dw, lateral (select unnest(range(1, len(w) - 6)) as p)
+  union all
+  select doc_id, copy, true, array_to_string(u[p:p + 11], ' ') from (select doc_id, copy, string_split(array_to_string(w, ''), '') as u from dw where han), lateral (select unnest(range(1, len(u) - 10)) as p)
+),
+hit as (select distinct item_id, doc_id, copy, n, m, p from ig join dg using (zh, gram)),
+cover as (select item_id, doc_id, copy, n, count(distinct q) as k from hit, lateral (select unnest(range(p, p + m)) as q) group by 1, 2, 3, 4)
+select item_id, doc_id from cover where 2 * k >= n
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _RUNS + "select first_seq, n_events from r where n_events >= 2 and activity is not null and place is not null",
     "p1_runs": _RUNS + "select * from r",
     "p2_found": f"select chart_id, seq from ({_NEAREST})",
     "p2_lags": f"select chart_id, seq, round(d / 1e6, 6) as lag_s from ({_NEAREST})",
     "p4_found": "select id from doc_chunk where len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 400",
+    "p8_found": _LEAKS,
 }
