@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import pandas as pd
@@ -61,11 +62,13 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         return [0] * len(counts)
     longest = max(lengths)
     share = max(0.0, (budget - SLACK * longest) / total)
-    take = [min(n, int(n * share)) for n in counts]
+    # Rounded over the running count, so that lengths of few records get their part too.
+    upto = [0, *accumulate(counts)]
+    take = [int(b * share) - int(a * share) for a, b in zip(upto, upto[1:])]
     rest = budget - sum(a * k for a, k in zip(lengths, take))
     left = [n - k for n, k in zip(counts, take)]
-    # Long remainders (many lengths, few records each) are first cut down greedily, longest first.
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    # Lengths in an order that is spread over their range from the start.
+    order = sorted(range(len(lengths)), key=lambda i: (i * 0.6180339887498949) % 1.0)
     for i in order:
         if rest <= 2 * SLACK * longest:
             break
@@ -77,8 +80,9 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     limit = rest + longest
     full = (1 << (limit + 1)) - 1
     reach, layers = 1, []
-    for i in order:
-        part, have = 1, min(left[i], limit // lengths[i])
+    # One record of each length first, then the rest of them.
+    for i, most in [*((i, min(1, left[i])) for i in order), *((i, left[i] - 1) for i in order)]:
+        part, have = 1, max(0, min(most, limit // lengths[i]))
         while have:
             k = min(part, have)
             layers.append((i, k, reach))
