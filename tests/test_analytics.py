@@ -91,6 +91,36 @@ def test_motion_report(spark):
     assert M.confidence_kept(spark.createDataFrame(rounds(confidence=0.5), EP), params, 1).count() < df.count()
 
 
+def test_motion_replicates_draw_the_stops_kept(spark):
+    layout = G.Layout()
+    cost = G.costs(spark, layout)
+    df = spark.createDataFrame(rounds(confidence=0.5), EP).cache()
+    params = M.MotionParams(n_replicates=2)
+    assert params.model_confidence and M.MotionParams().model_confidence
+    got = {r.replicate: r for r in M.motion_replicates(df, layout, cost, params).collect()}
+    wards = {(r.clinician, r.day): r.ward for r in M.modal_ward(df).collect()}
+    units = sorted({(day, w) for (_, day), w in wards.items()})
+    for r in range(2):
+        least, o, n = params.dwell_values[draw_of(params.seed, r) % 4], 0.0, 0.0
+        for k in range(1, len(units) + 1):
+            unit = units[draw_of(params.seed + 1, r, k) % len(units)]
+            walks = {}
+            for s in sorted(M.confidence_kept(df, params, r, k).where(F.col("dwell_s") >= least).collect(), key=lambda s: (s.start, s.bed)):
+                if (s.day, wards[s.clinician, s.day]) == unit:
+                    walks.setdefault((s.clinician, s.day), []).append(s.bed)
+            for beds in walks.values():
+                o += sum(layout.quickest(a)[b][1] for a, b in itertools.pairwise(beds))
+                n += necessary(matrix(layout, sorted(set(beds))))[0]
+        assert abs(got[r].observed_m - o) < 1e-6 and abs(got[r].necessary_m - n) < 1e-6
+    sure = M.MotionParams(n_replicates=40, model_confidence=False)
+    mean = lambda p: M.motion_replicates(df, layout, cost, p).agg(F.avg("observed_m")).first()[0]
+    assert mean(M.MotionParams(n_replicates=40)) < 0.8 * mean(sure)
+    certain = spark.createDataFrame(rounds(), EP)
+    a = {r.replicate: r for r in M.motion_replicates(certain, layout, cost, M.MotionParams(n_replicates=20)).collect()}
+    for b in M.motion_replicates(certain, layout, cost, M.MotionParams(n_replicates=20, model_confidence=False)).collect():
+        assert abs(a[b.replicate].observed_m - b.observed_m) < 1e-6 and abs(a[b.replicate].necessary_m - b.necessary_m) < 1e-6
+
+
 def test_motion_refusals(spark):
     layout = G.Layout()
     cost = G.costs(spark, layout)

@@ -16,7 +16,8 @@ from wardloom.plans.views import CLAIMS, LAYOUT, STAYS
 from wardloom.plans.ward import COSTS, joined
 from wardloom.session import Query, cut, table
 
-PARAMS = M.MotionParams(n_replicates=200)
+PARAMS = M.MotionParams(n_replicates=200, model_confidence=False)  # of the variant in SQL, which takes every stop as certain
+REPORT_PARAMS = M.MotionParams(n_replicates=200)
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
@@ -48,8 +49,7 @@ def _motion_stays(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    units = cut(M.unit_motion(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), PARAMS.dwell_values))
-    return r6(M.motion_bootstrap(units, PARAMS), "observed_m", "necessary_m")
+    return r6(M.motion_replicates(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS), "observed_m", "necessary_m")
 
 
 def motion_observed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def motion_observed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_report(spark: SparkSession, d: str) -> DataFrame:
-    return M.motion_report(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), PARAMS)
+    return M.motion_report(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS)
 
 
 def suppression_floor(spark: SparkSession, d: str) -> DataFrame:
