@@ -16,6 +16,7 @@ from wardloom.operators import geometry as G
 from wardloom.operators import motion as M
 from wardloom.operators.evidence import STRATEGIES
 from wardloom.operators.suppression import SuppressionFloor
+from wardloom.plans import analytics as A
 from wardloom.sources import synthetic
 
 T0 = datetime(2026, 1, 5, 8)
@@ -166,6 +167,17 @@ def test_coverage_fixture(spark):
     assert all(x.refused == "nobody needs two specialties" and x.coverage is None for x in nobody)
 
 
+def test_replicates_of_the_queries(spark, monkeypatch):
+    need = spark.createDataFrame([(s, f"P{d}_{p}", ["cardiology", "nephrology"]) for s in STRATEGIES for d in range(3) for p in range(10)], "strategy string, patient string, required array<string>")
+    units = C.coverage_units(spark.createDataFrame(covered_days(), EP), need)
+    monkeypatch.setattr(A, "_units", lambda spark, d: units)
+    assert A.coverage_bootstrap(spark, "").groupBy("strategy").count().select("count").distinct().collect() == [(1000,)]
+    got = {r.strategy: r for r in A.coverage_by_strategy(spark, "").collect()}["union"]
+    want = {r.strategy: r for r in C.coverage_by_strategy(units, 1000).collect()}["union"]
+    assert abs(got.ci_low - want.ci_low) < 1e-6 and abs(got.ci_high - want.ci_high) < 1e-6
+    assert A.REPORT_PARAMS == M.MotionParams() and M.MotionParams().n_replicates == 500
+
+
 def test_wilson(spark):
     df = spark.createDataFrame([(14, 24), (17, 32), (6, 16), (0, 0), (5, 5)], "k int, n int")
     low, high = C.wilson(F.col("k"), F.col("n"))

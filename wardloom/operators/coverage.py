@@ -56,7 +56,7 @@ def coverage_cells(units: DataFrame, min_patients: int = MIN_PATIENTS, min_clini
     )
 
 
-def coverage_bootstrap(units: DataFrame, n_replicates: int = 200, seed: int = 7) -> DataFrame:
+def coverage_bootstrap(units: DataFrame, n_replicates: int = 1000, seed: int = 7) -> DataFrame:
     """``strategy, replicate, coverage``: ward-days, then patients within each, drawn with replacement.
 
     A patient drawn from a ward-day is covered if the draw falls below its number of covered ones.
@@ -78,7 +78,7 @@ def coverage_bootstrap(units: DataFrame, n_replicates: int = 200, seed: int = 7)
     return draws.groupBy("strategy", "replicate").agg((F.sum("hits") / F.when(F.sum("n_patients") > 0, F.sum("n_patients"))).alias("coverage"))
 
 
-def coverage_by_strategy(units: DataFrame, n_replicates: int = 200, seed: int = 7) -> DataFrame:
+def coverage_by_strategy(units: DataFrame, n_replicates: int = 1000, seed: int = 7) -> DataFrame:
     """One row a strategy: pooled coverage, and an interval that spans Wilson's and the bootstrap's.
 
     Suppressed ward-days still count in the pool. A strategy under which nobody needs two

@@ -17,7 +17,7 @@ from wardloom.plans.ward import COSTS, joined
 from wardloom.session import Query, cut, table
 
 PARAMS = M.MotionParams(n_replicates=200, model_confidence=False)  # of the variant in SQL, which takes every stop as certain
-REPORT_PARAMS = M.MotionParams(n_replicates=200)
+REPORT_PARAMS = M.MotionParams()
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
@@ -95,11 +95,11 @@ def wilson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return r6(C.coverage_bootstrap(cut(_units(spark, d)), 100), "coverage")
+    return r6(C.coverage_bootstrap(cut(_units(spark, d))), "coverage")
 
 
 def coverage_by_strategy(spark: SparkSession, d: str) -> DataFrame:
-    return r6(C.coverage_by_strategy(cut(_units(spark, d)), 100), "coverage", "ci_low", "ci_high")
+    return r6(C.coverage_by_strategy(cut(_units(spark, d))), "coverage", "ci_low", "ci_high")
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
