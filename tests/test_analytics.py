@@ -212,6 +212,17 @@ def test_standardise_and_kmeans(spark):
         V.kmeans(x.limit(10), ["id"], 3)
 
 
+def test_embeddings_are_clustered_until_nothing_changes(spark, monkeypatch):
+    v = np.random.default_rng(32).exponential(size=(400, 2)).astype("float32").astype(float)
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(2).cache()
+    monkeypatch.setattr(A, "table", lambda *_: df)
+    label = np.array([r.label for r in A.kmeans_embeddings(spark, "").orderBy("vec_id").collect()])
+    means = np.array([v[label == i].mean(0) for i in range(10)])
+    assert (((v[:, None] - means[None]) ** 2).sum(2).round(9).argmin(1) == label).all()
+    truth = spark.createDataFrame([(int(a), i % 3) for i, a in enumerate(label)], "label int, truth int")
+    assert A.ari_embeddings(spark, "").first().ari == round(V.adjusted_rand(truth, "label", "truth").first().ari, 6)
+
+
 def test_adjusted_rand(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 2)], "a int, b int")
     assert abs(V.adjusted_rand(df, "a", "b").first().ari - 2 / 17) < 1e-6

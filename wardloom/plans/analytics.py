@@ -138,13 +138,13 @@ def cohort_atypical(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
     x = cut(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")))
-    return r6(V.kmeans(x, ["vec_id"], 10, 20)[0], "distance")
+    return r6(V.kmeans(x, ["vec_id"], 10)[0], "distance")
 
 
 def ari_embeddings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     x = cut(e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")))
-    labels = V.kmeans(x, ["vec_id"], 10, 20)[0]
+    labels = V.kmeans(x, ["vec_id"], 10)[0]
     return r6(V.adjusted_rand(labels.join(e.select("vec_id", F.col("label").alias("truth")), "vec_id"), "label", "truth"), "ari")
 
 
