@@ -91,3 +91,15 @@ def test_rows(spark):
     assert [r.entry for r in map_to_list(df, ref.limit(0)).collect()] == [None] * 7
     with pytest.raises(ValueError):
         map_to_list(df, ref, max_entries=1)
+
+
+def test_long_texts_and_words_are_matched_whole():
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    m = Matcher({"cardiology": ["cardiology"], "renal": ["renal"], "lungs": [long]}, OTHER_WORDS)
+    filler = "please review on the ward " * 40_000
+    assert m.match(filler + "cardiology")[0] == "cardiology"
+    assert m.match(filler + "cardiolgy")[0] == "cardiology"
+    assert m.match(filler + "car diology")[0] == "cardiology"
+    assert m.match("cardiology " + filler + "zebra giraffe " * 10)[0] is None
+    assert m.match(long[:-2] + "s")[0] == m.match(long[:-6] + "x" + long[-6:])[0] == "lungs"
+    assert m.match("x" * 1_000_000 + " cardiology") == m.match("x" * 60 + " cardiology")

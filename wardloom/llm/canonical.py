@@ -180,11 +180,14 @@ class Matcher:
         for w in {*self.weight, *self.other, *self.joined, *self.context}:
             for v in _without(w, allowed(len(w))):
                 self.index[v].add(w)
+        self.longest = 2 + max(map(len, self.index), default=0)  # longer words are more than two edits from any in the index
         self.repairs: dict[str, list[tuple[str, float]]] = {}
         self.known: dict[str, tuple[str | None, str | None, float]] = {}
 
     def repair(self, token: str) -> list[tuple[str, float]]:
         """Vocabulary words nearest to a token, with closeness; the token alone if it is a word."""
+        if len(token) > self.longest:
+            return []
         got = self.repairs.get(token)
         if got is None:
             got = self._repair(token)
@@ -202,7 +205,7 @@ class Matcher:
                 return [(min(begun, key=len), 0.95)]
         found = []
         most = allowed(len(token))
-        for c in {w for v in _without(token[:40], most) for w in self.index.get(v, ())}:
+        for c in {w for v in _without(token, most) for w in self.index.get(v, ())}:
             if len(c) < 4:
                 continue
             d = distance(token, c, min(2, max(most, allowed(len(c)))))
@@ -225,7 +228,7 @@ class Matcher:
         return got
 
     def _match(self, text: str) -> tuple[str | None, str | None, float]:
-        tokens = tokens_of(text[:2000])
+        tokens = tokens_of(text)
         if not tokens:
             return None, None, 0.0
         repaired = [self.repair(t) for t in tokens]
@@ -243,6 +246,7 @@ class Matcher:
             plain.append(max((self.weight[w] for w, _ in words if w in self.weight), default=0.0 if idle else (2.2 if other else 1.0) * self.unknown))
             if idle:
                 plain[-1] = min(plain[-1], 0.0)
+        total = math.fsum(p * p for p in plain)
         for a in {i for w in close for i in self.holding[w]}:
             words, entry = self.names[a]
             dot, used, single = 0.0, {}, len(words) == 1
@@ -251,7 +255,7 @@ class Matcher:
                 if s and not (single and s < 1 and len(w) < 5):
                     dot += self.weight[w] ** 2 * s
                     used[at] = self.weight[w]
-            rest = sum(p * p for i, p in enumerate(plain) if i not in used)
+            rest = max(0.0, total - math.fsum(plain[i] ** 2 for i in used))
             norm = math.sqrt(rest + sum(v * v for v in used.values()))
             if norm:
                 score = dot / (self.norm[a] * norm)
@@ -259,13 +263,12 @@ class Matcher:
         # Words run together or parted at the wrong place.
         for size in (1, 2, 3, 4):
             for i in range(len(tokens) - size + 1):
-                run = "".join(tokens[i : i + size])
-                if len(run) < 6:
+                if not 6 <= sum(map(len, tokens[i : i + size])) <= self.longest:
                     continue
-                for w, s in self.repair(run):
+                for w, s in self.repair("".join(tokens[i : i + size])):
                     if w in self.joined and w not in self.other and (size > 1 or w not in self.weight):
                         words, entry = self.names[self.joined[w]]
-                        rest = sum(p * p for j, p in enumerate(plain) if not i <= j < i + size)
+                        rest = max(0.0, total - math.fsum(p * p for p in plain[i : i + size]))
                         n = self.norm[self.joined[w]]
                         best = max(best, (round(n * s / math.sqrt(n * n + rest), 9), len(words), entry, " ".join(words)))
         score, _, entry, name = best
@@ -295,7 +298,8 @@ def map_to_list(
     has entry null and score 0; a text that is letter for letter an entry maps to it. At equal
     score the name of more words wins, then the later entry by alphabet. Repeated rows each come
     out. ``names`` may be null or empty; null entries are skipped. An empty reference list maps
-    nothing, an empty table gives no rows. Only the named columns are read.
+    nothing, an empty table gives no rows. Texts and words of any length are matched whole. Only
+    the named columns are read.
 
     The reference list is fixed by nature and bounded: above ``max_entries`` the operator refuses.
     Its index goes to the executors with the function. There is no exchange: each distinct text of
