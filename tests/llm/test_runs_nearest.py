@@ -134,3 +134,28 @@ def test_nearest_equals_brute_force(spark):
         assert sorted((r.left_id, r.right_id) for r in got.collect()) == sorted(want)
     empty = spark.createDataFrame([], schema)
     assert match_nearest(empty, empty, place_keys(), place_keys(), "id", "ts", "id", "ts").count() == 0
+
+
+def test_nearest_at_every_tolerance_up_to_the_shard_borders(spark):
+    rng = random.Random(11)
+    sec = lambda: T0 + timedelta(seconds=rng.choice([rng.randint(0, 30_000), 900 * rng.randint(0, 33)]))
+    left = [(i, sec(), rng.choice(["C1", "C2"]), "A/1", "l") for i in range(150)]
+    right = [(i, sec(), rng.choice(["C1", "C2"]), "A/1", "r") for i in range(12)]
+    schema = "id long, ts timestamp_ntz, subject string, location string, side string"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    for tol in (0, 120, 899, 900, 901, 1799, 1800, 3600, 7200):
+        want = []
+        for r in left:
+            c = [(abs((x[1] - r[1]).total_seconds()), x[1], x[0]) for x in right if x[2] == r[2]]
+            if c and min(c)[0] <= tol:
+                want.append((r[0], min(c)[2]))
+        got = match_nearest(a, b, place_keys(), place_keys(), "id", "ts", "id", "ts", tolerance_s=tol)
+        assert sorted((r.left_id, r.right_id) for r in got.collect()) == sorted(want), tol
+
+
+def test_nearest_finds_a_record_in_the_middle_of_a_shard(spark):
+    schema = "id long, ts timestamp_ntz, subject string, location string, side string"
+    a = spark.createDataFrame([(1, T0.replace(minute=30), "C1", "A/1", "l")], schema)
+    b = spark.createDataFrame([(2, T0.replace(minute=15), "C1", "A/1", "r")], schema)
+    got = match_nearest(a, b, place_keys(), place_keys(), "id", "ts", "id", "ts", tolerance_s=900)
+    assert [(r.left_id, r.right_id, r.lag_s) for r in got.collect()] == [(1, 2, -900.0)]

@@ -37,7 +37,8 @@ def match_nearest(
     shards, so a hot entity's work is spread over its time shards; one exchange, no join.
     """
     tol = round(tolerance_s * 1_000_000)
-    width = max(round(shard_s * 1_000_000), 2 * tol, 1)
+    # A right row goes to one neighbouring shard at most, so shards are wider than both borders' zones.
+    width = max(round(shard_s * 1_000_000), 2 * tol + 1)
     keys = [f"k{i}" for i in range(len(left_keys))]
     known = " and ".join(f"{k} is not null" for k in (*keys, "t", "id"))
     a = left.select(*(c.alias(k) for c, k in zip(left_keys, keys)), micros(left_ts).alias("t"), F.col(left_id).cast("bigint").alias("id")).where(known)
