@@ -1,10 +1,15 @@
 """Mapping freely typed values to the entries of a reference list.
 
-Token-level repair: each distinct token of a batch is looked up in the reference vocabulary by
-edit distance (insertions, deletions, substitutions, swaps), through an index of the
-vocabulary's deletion variants, which finds every word within two edits. Soft TF-IDF over the
-repaired tokens then ranks whole entries: token weights come from the reference list, a token that
-was repaired counts by its closeness.
+Token-level repair as a join: the distinct strings of all texts (tokens, and neighbouring tokens
+written together) meet the words of the reference list in an equi-join on deletion variants, which
+finds every word within two edits (insertions, deletions, substitutions, swaps), and on prefixes,
+which finds words cut off. Soft TF-IDF over the repaired tokens then ranks whole entries: token
+weights come from the reference list, a token that was repaired counts by its closeness.
+
+No list of words of the trade is built in. What a token is that the reference list doesn't hold
+is told from the texts themselves: one that often stands beside names of the list is wording
+around them and counts for nothing; one that is spelt alike so often, measured by the word it
+resembles, that no misspelling would be, is a word of its own and counts against a match.
 """
 
 from __future__ import annotations
@@ -20,69 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardloom.session import bounded_rows
-
-#: Shorthand in general medical use, by specialty name.
-SHORTHAND: dict[str, tuple[str, ...]] = {
-    "cardiology": ("cards", "cardiac", "cardio"),
-    "nephrology": ("kidney",),
-    "general_medicine": ("gen med", "gen medicine", "general med", "internal medicine", "medics", "medical team"),
-    "surgical": ("surgery", "surgeons", "surg", "surgical team"),
-    "icu": ("itu", "intensive care unit", "critical care unit", "intensivist"),
-    "recovery": ("recovery room", "post anaesthesia care", "post op recovery"),
-    "oncology": ("onc", "cancer", "cancer team"),
-    "renal": ("renal medicine", "renal team", "dialysis"),
-    "rehabilitation": ("rehab",),
-    "neurology": ("neuro", "neurol"),
-    "urology": ("uro",),
-    "gastroenterology": ("gastro", "gi", "gi team"),
-    "hepatology": ("hepat", "liver"),
-    "rheumatology": ("rheum",),
-    "dermatology": ("derm", "skin"),
-    "haematology": ("haem", "blood"),
-    "endocrinology": ("endo", "endocrine", "diabetes", "diabetic team"),
-    "respiratory": ("resp", "resp med", "respiratory medicine", "chest", "chest team"),
-    "infectious_disease": ("infectious dis", "infectious diseases", "infection team", "inf dis", "inf disease"),
-    "geriatrics": ("geris", "geriatric medicine", "elderly care", "elderly medicine"),
-    "palliative_care": ("pall care", "palliative", "palliative medicine", "palliative team"),
-    "psychiatry": ("psych", "liaison psychiatry", "mental health"),
-    "orthopaedics": ("ortho", "orthopaedic surgery", "trauma and orthopaedics"),
-    "vascular_surgery": ("vasc surg", "vascular", "vascular surgeons", "vasc"),
-    "plastic_surgery": ("plastics", "plastic surgeons"),
-    "neurosurgery": ("neurosurg", "neurosurgeons"),
-    "maxillofacial": ("maxfax", "maxillofacial surgery", "oral and maxillofacial", "maxfac"),
-    "pain_management": ("pain mgmt", "acute pain team", "pain service", "pain clinic", "pain"),
-    "stroke": ("stroke unit", "stroke team", "stroke medicine"),
-    "burns": ("burns unit", "burn"),
-    "neonatology": ("neonatal", "neonates", "neonatal unit", "neo"),
-    "paediatrics": ("paeds", "peds", "paediatric", "children"),
-    "obstetrics": ("obs", "obstetric"),
-    "gynaecology": ("gynae", "gyn", "gyne"),
-    "immunology": ("immuno", "allergy", "immunology and allergy"),
-    "dietetics": ("diet", "dietitian", "dietician", "dietitians", "nutrition"),
-    "physiotherapy": ("physio", "physios"),
-}
-#: Hospital services and words of the trade that are no misspelling of a listed name.
-OTHER_WORDS = (
-    "radiology audiology virology toxicology ophthalmology opthalmology pathology histopathology microbiology cytology podiatry dentistry"
-    " dental genetics genetic pharmacy chaplaincy chaplain phlebotomy optometry orthoptics orthotics osteopathy oncall anaesthetics"
-    " anaesthesia biochemistry mortuary midwifery interpreter interpreters porters porter transport social work worker speech language lab sleep study"
-    " eye xray ray imaging ultrasound discharge lounge manager meeting family letter patient decision unknown other none asleep above"
-    " awaiting ring back wrong sure not yet refer when able see desk visit hospital chiropody security catering records reception"
-    " toxicologist radiologist audiologist proctology serology mycology bed beds admin clerk physics theatre theatres phone call later"
-).split()
-#: Words around the name that carry no meaning of their own.
-CONTEXT = (
-    "ref refer referral referred for opinion advice pls please consult consultation needs need dr doctor to on call oncall op rv dw with reg registrar urgent"
-    " routine list mon tues tue wed thu thurs fri sat sun dept department of the and ward review asap re via by pt input seen discuss discussed"
-    " team unit service clinic a an is cc fao attn today tomorrow sho spr consultant"
-).split()
+from wardloom.session import bounded_rows, cut
 
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
-_WORD = re.compile(r"[a-z0-9@$]+")
+_WORD = re.compile(r"(?:[^\W_]|[@$])+")
 _DOTTED = re.compile(r"\b[a-z](?:\.[a-z])+\b")
 _SLASHED = re.compile(r"\b([a-z])/([a-z])\b")
+_NUMBERED = re.compile(r"\d+[a-z]?")
+
+#: A string spelt alike in at least so many rows, and in so many for each row that holds the word it
+#: resembles, is a word of its own; the second share holds where their first letters differ, as
+#: few misspell the first letter.
+OWN_ROWS, OWN_SHARE, OWN_SHARE_FIRST = 3, 0.5, 0.05
+#: A token that stands beside a name of the list in at least this share of its texts is wording.
+WORDING_SHARE = 0.2
+#: Neighbouring tokens tried as one string.
+RUN = 4
 
 
 def tokens_of(text: str) -> list[str]:
@@ -127,7 +86,8 @@ def allowed(n: int) -> int:
     return 0 if n < 4 else 1 if n < 6 else 2
 
 
-def _without(word: str, most: int) -> set[str]:
+def variants(word: str, most: int) -> set[str]:
+    """``word`` and what is left of it without up to ``most`` letters."""
     out = {word}
     for k in range(1, most + 1):
         for at in combinations(range(len(word)), k):
@@ -139,25 +99,25 @@ def _forms(name: str) -> Iterable[str]:
     """A name and the words formed from it: practitioners, adjectives, other spellings."""
     yield name
     for old, new in (
-        ("ology", ("ologist", "ologists", "ological")),
+        ("ology", ("ologist", "ologists", "ological", "ac", "al", "e")),
         ("iatry", ("iatrist", "iatrists", "iatric")),
         ("iatrics", ("iatrician", "iatricians", "iatric")),
         ("etrics", ("etrician", "etricians")),
         ("surgery", ("surgeon", "surgeons", "surgical")),
         ("therapy", ("therapist", "therapists")),
         ("paedics", ("paedic",)),
+        ("etics", ("itian", "itians", "ician", "icians")),
     ):
         if name.endswith(old):
             yield from (name[: -len(old)] + n for n in new)
 
 
-class Matcher:
-    """Index of a reference list: entry -> names. Built on the driver from a bounded list."""
+class Names:
+    """The reference list: names, their words and weights. Linear in the list's size."""
 
-    def __init__(self, names: dict[str, list[str]], other_words: Iterable[str] = (), threshold: float = 0.6) -> None:
-        self.threshold = threshold
+    def __init__(self, table: dict[str, list[str]], wording: Iterable[str] = ()) -> None:
         seen: dict[tuple[str, ...], str] = {}
-        for entry, given in names.items():
+        for entry, given in table.items():
             for name in given:
                 for form in _forms(" ".join(tokens_of(name.replace("_", " ")))):
                     for spelt in {form, form.replace("ae", "e").replace("oe", "e") if len(form) > 6 else form}:
@@ -170,115 +130,203 @@ class Matcher:
             for w in set(words):
                 count[w].add(entry)
                 self.holding[w].append(i)
-        n = len(names)
-        self.weight = {w: math.log(1 + n / len(e)) * (0.35 if w in CONTEXT else 1.0) for w, e in count.items()}
+        n, idle = len(table), set(wording)
+        self.entries = dict(count)
+        self.weight = {w: math.log(1 + n / len(e)) * (0.35 if w in idle else 1.0) for w, e in count.items()}
         self.norm = [math.sqrt(sum(self.weight[w] ** 2 for w in words)) for words, _ in self.names]
         self.unknown = 0.45 * math.log(1 + n)
-        self.context, self.other = set(CONTEXT), set(other_words)
         self.joined = {"".join(words): i for i, (words, _) in reversed(list(enumerate(self.names)))}
-        self.index: dict[str, set[str]] = defaultdict(set)
-        for w in {*self.weight, *self.other, *self.joined, *self.context}:
-            for v in _without(w, allowed(len(w))):
-                self.index[v].add(w)
-        self.longest = 2 + max(map(len, self.index), default=0)  # longer words are more than two edits from any in the index
-        self.repairs: dict[str, list[tuple[str, float]]] = {}
-        self.known: dict[str, tuple[str | None, str | None, float]] = {}
-
-    def repair(self, token: str) -> list[tuple[str, float]]:
-        """Vocabulary words nearest to a token, with closeness; the token alone if it is a word."""
-        if len(token) > self.longest:
-            return []
-        got = self.repairs.get(token)
-        if got is None:
-            got = self._repair(token)
-            if len(self.repairs) >= 200_000:
-                self.repairs.clear()
-            self.repairs[token] = got
-        return got
-
-    def _repair(self, token: str) -> list[tuple[str, float]]:
-        if token in self.weight or token in self.other or token in self.context or token in self.joined:
-            return [(token, 1.0)]
-        if len(token) >= 4:  # a cut-off word
-            begun = [w for w in self.weight if w.startswith(token) and len(w) > len(token) + 1]
-            if begun and len({self.names[i][1] for w in begun for i in self.holding[w]}) == 1:
-                return [(min(begun, key=len), 0.95)]
-        found = []
-        most = allowed(len(token))
-        for c in {w for v in _without(token, most) for w in self.index.get(v, ())}:
-            if len(c) < 4:
-                continue
-            d = distance(token, c, min(2, max(most, allowed(len(c)))))
-            if d <= allowed(max(len(token), len(c))) and d < min(len(token), len(c)) / 2:
-                found.append((d, c))
-        if found:
-            # The nearest words; one with another first letter counts a little less.
-            low = min(found)[0]
-            return [(c, 1 - low / (max(len(c), len(token)) + 2) - 0.03 * (c[0] != token[0])) for d, c in sorted(found) if d == low]
-        return []
-
-    def match(self, text: str) -> tuple[str | None, str | None, float]:
-        """(entry, name that matched, score) of a text; entry None if no entry is meant."""
-        got = self.known.get(text)
-        if got is None:
-            got = self._match(text)
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            self.known[text] = got
-        return got
-
-    def _match(self, text: str) -> tuple[str | None, str | None, float]:
-        tokens = tokens_of(text)
-        if not tokens:
-            return None, None, 0.0
-        repaired = [self.repair(t) for t in tokens]
-        best: tuple = (0.0, 0, "", None)
-        close: dict[str, tuple[float, int]] = {}  # vocabulary word -> closeness, token
-        for i, words in enumerate(repaired):
-            for w, s in words:
-                if w in self.weight and s > close.get(w, (0, 0))[0]:
-                    close[w] = (s, i)
-        plain = []
-        for i, words in enumerate(repaired):
-            in_list = any(w in self.weight for w, _ in words)
-            idle = any(w in self.context for w, _ in words) or tokens[i].isdigit() or len(tokens[i]) == 1 or re.fullmatch(r"\d+[a-z]", tokens[i])
-            other = not in_list and any(w in self.other for w, _ in words)
-            plain.append(max((self.weight[w] for w, _ in words if w in self.weight), default=0.0 if idle else (2.2 if other else 1.0) * self.unknown))
-            if idle:
-                plain[-1] = min(plain[-1], 0.0)
-        total = math.fsum(p * p for p in plain)
-        for a in {i for w in close for i in self.holding[w]}:
-            words, entry = self.names[a]
-            dot, used, single = 0.0, {}, len(words) == 1
-            for w in set(words):
-                s, at = close.get(w, (0.0, -1))
-                if s and not (single and s < 1 and len(w) < 5):
-                    dot += self.weight[w] ** 2 * s
-                    used[at] = self.weight[w]
-            rest = max(0.0, total - math.fsum(plain[i] ** 2 for i in used))
-            norm = math.sqrt(rest + sum(v * v for v in used.values()))
-            if norm:
-                score = dot / (self.norm[a] * norm)
-                best = max(best, (round(score, 9), len(words), entry, " ".join(words)))
-        # Words run together or parted at the wrong place.
-        for size in (1, 2, 3, 4):
+        self.words = {*self.weight, *self.joined}
+        self.longest = 2 + max(map(len, self.words), default=0)  # longer strings are more than two edits from any word
+
+    def strings(self, tokens: list[str]) -> set[str]:
+        """Tokens and runs of neighbouring tokens that may stand for a word of the list."""
+        out = {t for t in tokens if len(t) <= self.longest}
+        for size in range(2, RUN + 1):
             for i in range(len(tokens) - size + 1):
-                if not 6 <= sum(map(len, tokens[i : i + size])) <= self.longest:
-                    continue
-                for w, s in self.repair("".join(tokens[i : i + size])):
-                    if w in self.joined and w not in self.other and (size > 1 or w not in self.weight):
-                        words, entry = self.names[self.joined[w]]
-                        rest = max(0.0, total - math.fsum(p * p for p in plain[i : i + size]))
-                        n = self.norm[self.joined[w]]
-                        best = max(best, (round(n * s / math.sqrt(n * n + rest), 9), len(words), entry, " ".join(words)))
-        score, _, entry, name = best
-        return (entry, name, score) if score >= self.threshold else (None, name, score)
+                if 6 <= sum(map(len, tokens[i : i + size])) <= self.longest:
+                    out.add("".join(tokens[i : i + size]))
+        return out
+
+    def telling(self, token: str) -> set[str]:
+        """Entries that a token points to by itself."""
+        e = self.entries.get(token, ())
+        return set(e) if len(e) == 1 and len(token) >= 4 else set()
+
+
+#: What is known of a string: repairs as (word, closeness), whether it is wording, whether a word of its own.
+Known = tuple[list[tuple[str, float]], bool, bool]
+NOTHING: Known = ([], False, False)
+
+
+def repairs(string: str, n_rows: int, near: list[tuple[str, bool, int]], listed: bool) -> tuple[list[tuple[str, float]], bool]:
+    """Words that a string stands for, with closeness, and whether it is a word of its own.
+
+    ``near``: the words that share a variant with it: word, whether it begins with the string, the
+    number of rows that hold the word. A ``listed`` string is a word of the list, which may still
+    be short for a longer one.
+    """
+    begun = [(w, 0.95 if len(string) >= 4 and w.startswith(string) else 0.85) for w, prefix, _ in near if prefix]
+    if begun or listed:
+        return sorted(begun), False
+    most, found = allowed(len(string)), []
+    for c, _, n in near:
+        if len(c) < 4:
+            continue
+        d = distance(string, c, min(2, max(most, allowed(len(c)))))
+        if d <= allowed(max(len(string), len(c))) and d < min(len(string), len(c)) / 2:
+            found.append((d, c, n))
+    if not found:
+        return [], n_rows >= OWN_ROWS
+    low = min(found)[0]
+    best = [x for x in sorted(found) if x[0] == low]
+    like = max((n, c[0] == string[0]) for _, c, n in found)
+    if n_rows >= OWN_ROWS and n_rows >= (OWN_SHARE if like[1] else OWN_SHARE_FIRST) * like[0]:
+        return [], True
+    # The nearest words; one with another first letter counts a little less.
+    return [(c, 1 - low / (max(len(c), len(string)) + 2) - 0.03 * (c[0] != string[0])) for _, c, _ in best], False
+
+
+def rank(names: Names, tokens: list[str], known: dict[str, Known], threshold: float) -> tuple[str | None, str | None, float]:
+    """(entry, name that matched, score) of a text's tokens; entry None if no entry is meant."""
+    if not tokens:
+        return None, None, 0.0
+    weight, n_tokens = names.weight, len(tokens)
+
+    def meant(s: str) -> list[tuple[str, float]]:
+        got = known.get(s, NOTHING)[0]
+        return [(s, 1.0), *got] if s in names.words else got
+
+    best: tuple = (0.0, 0, "", None)
+    close: dict[str, tuple[float, int]] = {}  # word -> closeness, token
+    plain = []
+    for i, t in enumerate(tokens):
+        words = meant(t)
+        for w, s in words:
+            if w in weight and s > close.get(w, (0, 0))[0]:
+                close[w] = (s, i)
+        _, wording, own = known.get(t, NOTHING)
+        listed = max((weight[w] for w, _ in words if w in weight), default=0.0)
+        if wording or len(t) == 1 or _NUMBERED.fullmatch(t):
+            plain.append(0.0)
+        else:
+            plain.append(listed or (2.2 if own else 1.0) * names.unknown)
+    total = math.fsum(p * p for p in plain)
+    for a in {i for w in close for i in names.holding[w]}:
+        words, entry = names.names[a]
+        dot, used, single = 0.0, {}, len(words) == 1
+        for w in set(words):
+            s, at = close.get(w, (0.0, -1))
+            if s and not (single and s < 1 and len(w) < 5):
+                dot += weight[w] ** 2 * s
+                used[at] = weight[w]
+        rest = max(0.0, total - math.fsum(plain[i] ** 2 for i in used))
+        norm = math.sqrt(rest + sum(v * v for v in used.values()))
+        if norm:
+            best = max(best, (round(dot / (names.norm[a] * norm), 9), len(words), entry, " ".join(words)))
+    # Words run together or parted at the wrong place.
+    for size in range(1, RUN + 1):
+        for i in range(n_tokens - size + 1):
+            if not 6 <= sum(map(len, tokens[i : i + size])) <= names.longest:
+                continue
+            for w, s in meant("".join(tokens[i : i + size])):
+                if w in names.joined and (size > 1 or w not in weight):
+                    words, entry = names.names[names.joined[w]]
+                    rest = max(0.0, total - math.fsum(p * p for p in plain[i : i + size]))
+                    n = names.norm[names.joined[w]]
+                    best = max(best, (round(n * s / math.sqrt(n * n + rest), 9), len(words), entry, " ".join(words)))
+    score, _, entry, name = best
+    return (entry, name, score) if score >= threshold else (None, name, score)
 
 
 _DDL = "id bigint, text string, entry string, matched_name string, score double"
 _SCHEMA = pa.schema([("id", pa.int64()), ("text", pa.string()), ("entry", pa.string()), ("matched_name", pa.string()), ("score", pa.float64())])
 
 
+def _tell(names: Names):
+    """For each distinct text its strings: whether it is a token, whether another token of the text names an entry."""
+    schema = pa.schema([("s", pa.string()), ("rows", pa.int64()), ("token", pa.int32()), ("named", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[str, int, int, int]] = []
+            for text, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                tokens = tokens_of(text)
+                told = {t: names.telling(t) for t in set(tokens)}
+                count: dict[str, int] = defaultdict(int)  # how many tokens point to an entry
+                for e in told.values():
+                    for x in e:
+                        count[x] += 1
+                for s in names.strings(tokens):
+                    own = names.entries.get(s, ())
+                    rows.append((s, n, int(s in told), int(s in told and any(x not in own for x in count))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
+
+    return run
+
+
+def _keys(prefixes: bool):
+    """Join keys of strings: deletion variants, and prefixes (of words) or the string as one."""
+    schema = pa.schema([("key", pa.string()), ("w", pa.string()), ("prefix", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            for i in range(0, len(words), 500):
+                rows = []
+                for w in words[i : i + 500]:
+                    rows += [("d" + v, w, False) for v in variants(w, allowed(len(w)))]
+                    if prefixes:
+                        rows += [("p" + w[:k], w, True) for k in range(3, len(w) - 1)]
+                    else:  # a word cut off, or cut off and given a plural's s
+                        rows += [("p" + x, w, True) for x in {w, w[:-1] if w.endswith("s") and len(w) > 4 else w} if len(x) >= 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    return run
+
+
+_KNOWN = "s string, words array<string>, close array<double>, wording boolean, own boolean"
+_KNOWN_SCHEMA = pa.schema(
+    [("s", pa.string()), ("words", pa.list_(pa.string())), ("close", pa.list_(pa.float64())), ("wording", pa.bool_()), ("own", pa.bool_())]
+)
+
+
+def _judge(names: Names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s, n, n_texts, token, named, near in zip(*(c.to_pylist() for c in b.columns)):
+                wording = bool(token) and named >= max(2, WORDING_SHARE * n_texts)
+                got, own = repairs(s, n, [(x["w"], x["prefix"], x["n"] or 0) for x in near or []], s in names.words)
+                if got or wording or own:
+                    rows.append((s, [w for w, _ in got], [c for _, c in got], wording, own and not wording))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _KNOWN_SCHEMA)], schema=_KNOWN_SCHEMA)
+
+    return run
+
+
+def known_strings(texts: DataFrame, names: Names) -> DataFrame:
+    """What is known of each distinct string of ``texts(text, n)``: ``s, words, close, wording, own``.
+
+    Only strings of which something is known come out. The join is on single variants and
+    prefixes, both sides hashed.
+    """
+    spark = texts.sparkSession
+    told = texts.mapInArrow(_tell(names), "s string, rows bigint, token int, named int")
+    stats = cut(told.groupBy("s").agg(F.sum("rows").alias("n"), F.count("*").alias("texts"), F.sum("named").alias("named"), F.max("token").alias("token")))
+    words = spark.createDataFrame(pa.table({"w": pa.array(sorted(names.words), pa.string())}), "w string")
+    index = words.mapInArrow(_keys(True), "key string, w string, prefix boolean")
+    keyed = stats.select("s").mapInArrow(_keys(False), "key string, w string, prefix boolean").select("key", F.col("w").alias("s"))
+    pairs = keyed.join(index, "key").where("s <> w").select("s", "w", "prefix").distinct()
+    pairs = pairs.join(stats.select(F.col("s").alias("w"), F.col("n").alias("n_w")), "w", "left")
+    near = pairs.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("w", "prefix", F.col("n_w").alias("n")))).alias("near"))
+    return stats.join(near, "s", "left").select("s", "n", "texts", "token", "named", "near").mapInArrow(_judge(names), _KNOWN)
+
+
+def _as_known(words: list, close: list, wording: bool, own: bool) -> Known:
+    return list(zip(words, close)), wording, own
+
+
 def map_to_list(
     df: DataFrame,
     reference: DataFrame,
@@ -287,9 +335,9 @@ def map_to_list(
     entry: str = "specialty",
     names: str = "also_known",
     shorthand: dict[str, tuple[str, ...]] | None = None,
-    other_words: Iterable[str] = OTHER_WORDS,
     threshold: float = 0.6,
     max_entries: int = 100_000,
+    broadcast_strings: int = 500_000,
 ) -> DataFrame:
     """Each row's free text with the reference entry it means, or none.
 
@@ -299,29 +347,85 @@ def map_to_list(
     score the name of more words wins, then the later entry by alphabet. Repeated rows each come
     out. ``names`` may be null or empty; null entries are skipped. An empty reference list maps
     nothing, an empty table gives no rows. Texts and words of any length are matched whole. Only
-    the named columns are read.
+    the named columns are read. ``shorthand`` adds names of entries from outside; it is empty by
+    default.
 
     The reference list is fixed by nature and bounded: above ``max_entries`` the operator refuses.
-    Its index goes to the executors with the function. There is no exchange: each distinct text of
-    a batch is matched once, and results are remembered in a bounded memo, so a text that a third
-    of all rows hold costs one match for each worker.
+    The distinct strings of all texts are counted, joined to the list's words and written once to
+    the shared checkpoint folder. Up to ``broadcast_strings`` strings of which something is known
+    are broadcast, and rows are ranked in one pass without exchange, each distinct text of a batch
+    once. Beyond that, distinct texts meet their strings in a join and rows meet their text's
+    result in another, with the same result.
     """
+    spark = df.sparkSession
     table: dict[str, list[str]] = {}
     for r in bounded_rows(reference.select(F.col(entry).alias("e"), F.col(names).alias("n")), max_entries, "the reference list"):
         if r.e is not None:
             table.setdefault(r.e, []).extend([r.e, *(x for x in r.n or [] if x)])
-    for e, more in (SHORTHAND if shorthand is None else shorthand).items():
+    for e, more in (shorthand or {}).items():
         if e in table:
             table[e].extend(more)
-    words = list(other_words)
+    rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    if not table:
+        return rows.select("id", "text", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("string").alias("matched_name"), F.lit(0.0).alias("score"))
+    listed = Names(table)
+    texts = rows.where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
+    known = cut(known_strings(texts, listed))
+    wording = [r.s for r in known.where("wording").join(F.broadcast(_words(spark, listed)), F.col("s") == F.col("w"), "left_semi").select("s").collect()]  # words of the list
+
+    if known.count() > broadcast_strings:
+        return _ranked_by_join(rows, texts, known, table, wording, threshold)
+    told = {r.s: _as_known(r.words, r["close"], r.wording, r.own) for r in known.collect()}
+    shared = spark.sparkContext.broadcast((table, wording, told))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(table, words, threshold)
+        table, wording, told = shared.value
+        ranked, memo = Names(table, wording), {}
         for b in batches:
             coded = b.column(1).dictionary_encode()
-            got = [(t, t, 1.0) if t in table else matcher.match(t) for t in coded.dictionary.to_pylist()]
+            got = []
+            for t in coded.dictionary.to_pylist():
+                if t not in memo:
+                    if len(memo) >= 200_000:
+                        memo.clear()
+                    memo[t] = (t, t, 1.0) if t in table else rank(ranked, tokens_of(t), told, threshold)
+                got.append(memo[t])
             at = [None if i is None else got[i] for i in coded.indices.to_pylist()]
             cols = [pa.array([x and x[k] for x in at], f.type) for k, f in enumerate(list(_SCHEMA)[2:4])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([x[2] if x else 0.0 for x in at], pa.float64())], schema=_SCHEMA)
 
-    return df.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _DDL)
+    return rows.mapInArrow(run, _DDL)
+
+
+def _words(spark, names: Names) -> DataFrame:
+    return spark.createDataFrame(pa.table({"w": pa.array(sorted(names.words), pa.string())}), "w string")
+
+
+def _ranked_by_join(rows: DataFrame, texts: DataFrame, known: DataFrame, table: dict, wording: list[str], threshold: float) -> DataFrame:
+    """The same ranking where what is known of strings is too much to broadcast.
+
+    Rows meet their text's result in a join on the text; adaptive execution splits a text that
+    very many rows hold.
+    """
+    ranked = Names(table, wording)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                s = sorted(ranked.strings(tokens_of(t))) or [""]
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(s), pa.string()), pa.array(s, pa.string())], names=["text", "s"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                have = {x["s"]: _as_known(x["words"], x["close"], x["wording"], x["own"]) for x in told}
+                out.append((t, *((t, t, 1.0) if t in table else rank(ranked, tokens_of(t), have, threshold))))
+            fields = list(_SCHEMA)[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, fields)], schema=pa.schema(fields))
+
+    told = texts.mapInArrow(strings, "text string, s string").join(known, "s", "left")
+    told = told.groupBy("text").agg(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("s", "words", "close", "wording", "own"))).alias("told"))
+    scored = told.mapInArrow(score, "text string, entry string, matched_name string, score double")
+    out = rows.join(scored, "text", "left")
+    return out.select("id", "text", "entry", "matched_name", F.coalesce("score", F.lit(0.0)).alias("score"))
