@@ -41,13 +41,38 @@ def test_rows(spark):
             (12, "先，" + "考生应发现定位，日志在交班时缺失。", 1),
             (13, None, 1),
             (14, "", 1),
-            (15, "too short", 1),
+            (15, "it is too short", 1),
             (10, passage, 1),
         ],
         "doc_id long, text string, item_id int",
     )
-    want = [(1, 10, 9, 16), (1, 10, 16, 16), (2, 12, 15, 24)]
-    for block in (20_000, 2):
-        assert sorted(tuple(r) for r in find_leaks(docs, items, block_items=block).collect()) == want
+    want = [(1, 10, 9, 16), (1, 10, 16, 16), (2, 12, 15, 24), (4, 15, 2, 2)]
+    for block in (4_000_000, 60):
+        assert sorted(tuple(r) for r in find_leaks(docs, items, block_chars=block).collect()) == want
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_every_script_and_short_passages(spark):
+    passages = {
+        1: ("en", "alpha beta gamma delta"),
+        2: ("ja", "患者は夜間に病棟を離れたため位置記録が途切れている"),
+        3: (None, "ผู้ป่วยออกจากหอผู้ป่วยในเวลากลางคืนโดยไม่มีบันทึก"),
+        4: ("en", "定位日志在交班时缺失而夜班护士"),
+        5: ("hi", "मरीज रात में वार्ड से बाहर चला गया था"),
+        6: ("ar", "غادر المريض الجناح ليلا دون تسجيل في السجل"),
+        7: ("zh", "the label of this item is wrong here today"),
+        8: ("ja", "短い文"),
+    }
+    items = spark.createDataFrame([(i, x, p) for i, (x, p) in passages.items()], "item_id long, lang string, passage string")
+    docs = spark.createDataFrame([(100 + i, f"前 before, {p}؟ after 後") for i, (_, p) in passages.items()] + [(200, "前 before after 後")], "doc_id long, text string")
+    got = sorted((r.item_id, r.doc_id, r.found == r.length) for r in find_leaks(docs, items).collect())
+    assert got == [(i, 100 + i, True) for i in passages]
+
+
+def test_parts_below_the_share(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, passage)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, passage[:40] + " x"), (2, "w1 w2 w3 w4 w5 w6 w7"), (3, "a " + passage)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in find_leaks(docs, items).collect()) == [3]
+    assert sorted((r.doc_id, r.found) for r in find_leaks(docs, items, min_share=0.0).collect()) == [(1, 12), (3, 40)]

@@ -1,11 +1,13 @@
 """Finding passages of held-out items inside documents by Wu-Manber multi-pattern search.
 
-The patterns are all stretches of ``m`` consecutive symbols of every passage (eight words; twelve
-characters in Chinese). The search looks at blocks of B symbols from the right end of a window:
-a shift table says how far the window may move when its last block ends no pattern, a bucket of
-the block holds the patterns that end in it, kept apart by the block they begin with, and those
-are compared with the text directly. What is found marks positions of the passage; a document
-holds the passage if the marked part reaches the share asked for.
+The patterns are all stretches of ``m`` consecutive symbols of every passage: eight words, or twelve
+characters where a passage's script has no blanks between words (Han, Kana, Thai, Lao, Khmer,
+Burmese). A passage shorter than that is one pattern as a whole. The search looks at blocks of B
+symbols from the right end of a window: a shift table says how far the window may move when its
+last block ends no pattern, a bucket of the block holds the patterns that end in it, kept apart by
+the block they begin with, and those are compared with the text directly. What is found marks
+positions of the passage; a document holds the passage if the marked part reaches the share asked
+for.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Languages written without blanks between words: their symbols are characters.
-BY_CHARACTER = ("zh",)
 _MARKS = regex.compile(r"\p{M}+")
 _TAGS = regex.compile(r"</?[a-z][^<>]{0,200}>|&[a-z]{2,8};")
 _APOSTROPHE = regex.compile(r"(?<=\p{L})['’ʼ`´](?=\p{L})")
 _POINT = regex.compile(r"(?<=\d)[.,](?=\d)")
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
-_HAN = regex.compile(r"\p{Han}")
+#: Scripts written without blanks between words: there the symbols are characters.
+_DENSE_CLASS = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+_DENSE = regex.compile(_DENSE_CLASS)
 
 
 def plain(text: str) -> str:
@@ -86,21 +88,35 @@ class Searcher:
         return found
 
 
-class ItemSearch:
-    """Both searches, by words and by characters, over one block of items."""
+def by_character(symbols: list[str]) -> bool:
+    """Whether most characters of a passage belong to scripts without blanks between words."""
+    text = "".join(symbols)
+    return 2 * len(_DENSE.findall(text)) > len(text)
+
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]], m_words: int, m_chars: int) -> None:
-        by_char = [(i, list("".join(words(plain(p or ""))))) for i, lang, p in items if (lang or "").strip().lower() in BY_CHARACTER]
-        by_word = [(i, words(plain(p or ""))) for i, lang, p in items if (lang or "").strip().lower() not in BY_CHARACTER]
-        self.sides = [(ids := [i for i, _ in x], [len(s) for _, s in x], Searcher([s for _, s in x], m)) for x, m in ((by_word, m_words), (by_char, m_chars))]
+class ItemSearch:
+    """Searches by words and by characters over one block of items, for each length of pattern."""
+
+    def __init__(self, items: list[tuple[int, str]], m_words: int, m_chars: int) -> None:
+        groups: dict[tuple[bool, int], list[tuple[int, list[str]]]] = {}
+        for i, p in items:
+            symbols = words(plain(p))
+            dense = by_character(symbols)
+            symbols = list("".join(symbols)) if dense else symbols
+            if symbols:
+                m = min(m_chars if dense else m_words, len(symbols))
+                groups.setdefault((dense, m), []).append((i, symbols))
+        self.sides = [(dense, [i for i, _ in x], [len(p) for _, p in x], Searcher([p for _, p in x], m)) for (dense, m), x in sorted(groups.items())]
+        self.dense = any(side[0] for side in self.sides)
 
     def __call__(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(item, symbols of its passage found, symbols of its passage) for each item found at all."""
         w = words(plain(text))
-        for side, (ids, lengths, searcher) in enumerate(self.sides):
-            if not ids or side and not _HAN.search(text):
+        chars = list("".join(w)) if self.dense and _DENSE.search(text) else None
+        for dense, ids, lengths, searcher in self.sides:
+            if dense and chars is None:
                 continue
-            for k, bits in searcher.marks(list("".join(w)) if side else w).items():
+            for k, bits in searcher.marks(chars if dense else w).items():
                 yield ids[k], bits.bit_count(), lengths[k]
 
 
@@ -114,36 +130,41 @@ def find_leaks(
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
-    lang: str = "lang",
     passage: str = "passage",
     min_share: float = 0.5,
     stretch_words: int = 8,
     stretch_chars: int = 12,
-    block_items: int = 20_000,
+    block_chars: int = 4_000_000,
 ) -> DataFrame:
     """Pairs of an item and a document that holds at least ``min_share`` of the item's passage.
 
-    Returns ``item_id, doc_id, found, length``: how many words (characters in Chinese) of the
-    passage stand in the document in stretches of at least ``stretch_words`` (``stretch_chars``)
-    consecutive ones, and how many it has. Case, accents, punctuation, markup and line breaks
-    don't count; an apostrophe inside a word and a point inside a number don't part it.
-
-    Null, empty and blank texts hold nothing; a null passage, or one shorter than a stretch, is in
-    no document. Repeated documents each come out; items with the same id come out once each. A
-    null lang counts as one with blanks between words. Empty tables give no rows; only the named
-    columns are read.
-
-    Every document is read whole, once for each block of at most ``block_items`` items; a block's
-    tables go to the executors, so their size is bounded whatever the number of items. There is no
-    exchange and no comparison of documents with each other.
+    Returns ``item_id, doc_id, found, length``: how many words (characters, in scripts without
+    blanks between words) of the passage stand in the document in stretches of at least
+    ``stretch_words`` (``stretch_chars``) consecutive ones, and how many it has. With ``min_share``
+    0 every document that holds one stretch of a passage comes out. Case, accents, punctuation,
+    markup and line breaks don't count; an apostrophe inside a word and a point inside a number
+    don't part it. Which of the two a passage is searched by goes by its own letters, not by a
+    label.
+
+    Null, empty and blank texts hold nothing, and a null passage or one without letters and digits
+    is in no document. A passage shorter than a stretch is looked for as a whole. Repeated
+    documents each come out; items with the same id come out once each. Empty tables give no rows;
+    only the named columns are read.
+
+    Every document is read whole, once for each block of items. A block holds at most
+    ``block_chars`` characters of passages (or one longer passage), so its tables are bounded; they
+    are made once and broadcast. There is no exchange and no comparison of documents with each
+    other.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    want = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(lang).alias("lang"), F.col(passage).alias("passage"))
-    blocks = max(1, -(-want.count() // block_items))
+    want = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(passage).cast("string").alias("passage")).where("passage is not null")
+    shared = d.sparkSession.sparkContext
+
+    def search(block: list[tuple[int, str]]) -> DataFrame:
+        tables = shared.broadcast(ItemSearch(block, stretch_words, stretch_chars))
 
-    def search(block: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = ItemSearch(block, stretch_words, stretch_chars)
+            find = tables.value
             for b in batches:
                 rows = [
                     (item, key, found, length)
@@ -153,11 +174,26 @@ def find_leaks(
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], schema=_SCHEMA)
 
-        return run
+        return d.mapInArrow(run, _DDL)
 
     out = None
-    for k in range(blocks):
-        mine = want if blocks == 1 else want.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        part = d.mapInArrow(search([tuple(r) for r in mine.collect()]), _DDL)
+    for block in _blocks(want, block_chars):
+        part = search(block)
         out = part if out is None else out.unionByName(part)
-    return out
+    return search([]) if out is None else out
+
+
+def _blocks(want: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of bounded size, one block on the driver at a time."""
+    parts = max(1, -(-(want.agg(F.sum(F.length("passage"))).first()[0] or 0) // block_chars))
+    for k in range(parts):
+        mine = want if parts == 1 else want.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)) == k)
+        block, held = [], 0
+        for r in mine.toLocalIterator():  # hash parts differ in size: a part above the bound is cut
+            if block and held + len(r.passage) > block_chars:
+                yield block
+                block, held = [], 0
+            block.append((r.item_id, r.passage))
+            held += len(r.passage)
+        if block:
+            yield block

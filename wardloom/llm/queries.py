@@ -66,6 +66,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("item_id", "doc_id")
 
 
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with a leaked stretch, however small a part of the passage it is."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), min_share=0.0)
+    return leaks.select("item_id", "doc_id", "found", "length", (F.col("found") == F.col("length")).alias("whole"))
+
+
 def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     held = F.array_sort(F.collect_list(F.struct("item_id", F.round(F.col("found") / F.col("length"), 4).alias("share"))))
@@ -107,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_mapped": p6_mapped,
     "p8_found": p8_found,
+    "p8_stretches": p8_stretches,
     "p8_documents": p8_documents,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,

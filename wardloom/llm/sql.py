@@ -43,20 +43,21 @@ def _plain(c: str) -> str:
     return f"regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}]+')"
 
 
-#: Stretches as joined grams: an independent way to the same pairs.
+_DENSE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+
+#: Stretches as joined grams: an independent way to the same pairs. Passages by words and by characters.
 _LEAKS = f"""
-with dw as (select doc_id, row_number() over () as copy, {_plain("text")} as w, regexp_matches(text, '\\p{{Han}}') as han from documents where text is not null),
-iw as (select item_id, lower(trim(lang)) = 'zh' as zh, {_plain("passage")} as w from eval_item),
-iu as (select item_id, zh, case when zh then string_split(array_to_string(w, ''), '') else w end as u, case when zh then 12 else 8 end as m from iw),
-ig as (select item_id, zh, m, len(u) as n, p, array_to_string(u[p:p + m - 1], ' ') as gram from iu, lateral (select unnest(range(1, len(u) - m + 2)) as p)),
-dg as (
-  select doc_id, copy, false as zh, array_to_string(w[p:p + 7], ' ') as gram from dw, lateral (select unnest(range(1, len(w) - 6)) as p)
-  union all
-  select doc_id, copy, true, array_to_string(u[p:p + 11], ' ') from (select doc_id, copy, string_split(array_to_string(w, ''), '') as u from dw where han), lateral (select unnest(range(1, len(u) - 10)) as p)
-),
-hit as (select distinct item_id, doc_id, copy, n, m, p from ig join dg using (zh, gram)),
+with dw as (select doc_id, row_number() over () as copy, {_plain("text")} as w from documents where text is not null),
+du as (select doc_id, copy, false as dense, w as u from dw union all select doc_id, copy, true, string_split(array_to_string(w, ''), '') from dw where regexp_matches(array_to_string(w, ''), '{_DENSE}')),
+iw as (select item_id, {_plain("passage")} as w from eval_item where passage is not null),
+ix as (select item_id, w, 2 * len(regexp_extract_all(array_to_string(w, ''), '{_DENSE}')) > length(array_to_string(w, '')) as dense from iw where len(w) > 0),
+iu as (select item_id, dense, case when dense then string_split(array_to_string(w, ''), '') else w end as u, case when dense then 12 else 8 end as most from ix),
+il as (select *, least(most, len(u)) as m from iu),
+ig as (select item_id, dense, m, len(u) as n, p, array_to_string(u[p:p + m - 1], ' ') as gram from il, lateral (select unnest(range(1, len(u) - m + 2)) as p)),
+lens as (select distinct dense, m from il),
+dg as (select doc_id, copy, dense, m, array_to_string(u[p:p + m - 1], ' ') as gram from du join lens using (dense), lateral (select unnest(range(1, len(u) - m + 2)) as p)),
+hit as (select distinct item_id, doc_id, copy, n, m, p from ig join dg using (dense, m, gram)),
 cover as (select item_id, doc_id, copy, n, count(distinct q) as k from hit, lateral (select unnest(range(p, p + m)) as q) group by 1, 2, 3, 4)
-select item_id, doc_id from cover where 2 * k >= n
 """
 
 SQL: dict[str, str] = {
@@ -65,5 +66,10 @@ SQL: dict[str, str] = {
     "p2_found": f"select chart_id, seq from ({_NEAREST})",
     "p2_lags": f"select chart_id, seq, round(d / 1e6, 6) as lag_s from ({_NEAREST})",
     "p4_found": "select id from doc_chunk where len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 400",
-    "p8_found": _LEAKS,
+    "p8_found": _LEAKS + "select item_id, doc_id from cover where 2 * k >= n",
+    "p8_stretches": _LEAKS + "select item_id, doc_id, k as found, n as length, k = n as whole from cover",
+    "p8_documents": _LEAKS
+    + """select doc_id, count(*) as n_items,
+  '[' || string_agg('{"item_id":' || item_id || ',"share":' || round(k / n, 4)::double || '}', ',' order by item_id) || ']' as items
+from cover where 2 * k >= n group by doc_id""",
 }
