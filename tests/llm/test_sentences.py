@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from wardloom.llm.sentences import MOVES, N_STATES, chunk_function, cuts, places, prefix, sentence_units, units
+from wardloom.llm.sentences import ACTS, CLASSES, MOVES, N_STATES, PAD, chunk_function, compose, cuts, pair, places, sentence_units, spread_units, units, units_of
 
 
 def split(text):
@@ -56,14 +56,39 @@ def test_units_hold_every_character():
         assert re.sub(r"\s", "", "".join(text[a:b] for a, b in got)) == re.sub(r"\s", "", text)
 
 
+def one_pass(text):
+    return pair(places(text, 0, len(text), 0, 0, True, True))
+
+
 def test_prefix_scan_equals_composition():
     rng = np.random.default_rng(1)
-    f = rng.integers(0, N_STATES, (37, N_STATES))
+    f = rng.integers(0, N_STATES, (200, N_STATES)).astype(np.int16)
+    owner = np.sort(rng.integers(0, 9, 200))
     state, want = 0, []
-    for g in f:
+    for i, g in enumerate(f):
+        state = 0 if i and owner[i] != owner[i - 1] else state
         want.append(state)
         state = int(g[state])
-    assert prefix(f).tolist() == want
+    assert compose(f, owner).tolist() == want
+
+
+def test_scan_over_chunks_equals_one_pass():
+    rng = random.Random(4)
+    texts = ["", " \n", "x", *(corpus(s, rng.randint(1, 60)) for s in range(30)), "", "a" * 3000]
+    texts += ["".join(rng.choice("aB .!?\"“”„«»()[]\n#-1。「」…ก ") for _ in range(rng.randint(0, 900))) for _ in range(40)]
+    who, a, z = units_of(texts)
+    assert list(zip(who.tolist(), a.tolist(), z.tolist())) == [(i, x, y) for i, t in enumerate(texts) for x, y in one_pass(t)]
+
+
+def test_table_is_complete():
+    assert MOVES.shape == ACTS.shape == (N_STATES, PAD + 1) and len(CLASSES) == PAD
+    assert (MOVES[:, PAD] == np.arange(N_STATES)).all() and not ACTS[:, PAD].any()
+
+
+def test_long_quotes_and_many_open_ones():
+    long = "“" + "One went. " * 1500 + "” she said. Then more."
+    assert len(split(long)) == 2
+    assert len(split("( “ « " * 30_000)) == 1
 
 
 def test_chunk_function_is_the_transducer():
@@ -83,8 +108,7 @@ def test_long_documents_equal_short_ones(spark):
     rows = [(i if i != 2 else None, t, "d") for i, t in enumerate(texts)] + [(0, texts[0], "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start_char string")
     key = lambda r: (r.doc_id if r.doc_id is not None else -1, r.start_char, r.end_char, r.text)
-    whole = sorted(map(key, sentence_units(df, chunk_chars=10**9).collect()))
-    want = sorted((d if d is not None else -1, a, b, t[a:b]) for d, t, _ in rows if t for a, b in units(t))
-    assert whole == want
-    assert sorted(map(key, sentence_units(df, chunk_chars=700).collect())) == want
-    assert sentence_units(df.limit(0)).count() == 0
+    want = sorted((d if d is not None else -1, a, b, t[a:b]) for d, t, _ in rows if t for a, b in one_pass(t))
+    assert sorted(map(key, sentence_units(df).collect())) == want
+    assert sorted(map(key, spread_units(df, chunk_chars=700).collect())) == want
+    assert sentence_units(df.limit(0)).count() == 0 == spread_units(df.limit(0)).count()

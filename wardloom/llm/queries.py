@@ -11,7 +11,7 @@ from wardloom.llm.leakage import find_leaks
 from wardloom.llm.mixing import mix_sources
 from wardloom.llm.nearest import match_nearest, place_keys
 from wardloom.llm.runs import collapse_runs
-from wardloom.llm.sentences import sentence_units
+from wardloom.llm.sentences import sentence_units, spread_units
 from wardloom.llm.split import split_oversized
 from wardloom.llm.sql import SQL
 from wardloom.session import Query, table
@@ -103,6 +103,11 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
+def p10_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same units with chunks spread over tasks, small enough that most documents have several."""
+    return spread_units(table(spark, sf_dir, "documents"), chunk_chars=1000, texts=False)
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
@@ -121,4 +126,5 @@ QUERIES: dict[str, Query] = {
     "p9_full_shares": p9_full_shares,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
+    "p10_spread": p10_spread,
 }

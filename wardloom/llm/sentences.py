@@ -1,11 +1,15 @@
 """Sentence units of documents in many languages by a compiled finite-state transducer.
 
-A text is read as a sequence of marks (runs of ordinary text, terminators, quotes, brackets, line
-breaks, blanks between Thai letters), each put into one of a fixed number of classes by a bounded
-look around it. The boundary rules are compiled into a table state x class -> state, action; the
-actions place starts and ends of units. Because the transducer is finite, a chunk of a long
-document is a function from state to state: the functions of a document's chunks are composed in
-order, which gives each chunk its first state, and the chunks then emit their units on their own.
+A text is read as a sequence of marks: runs of ordinary text, terminators, quotes, brackets, line
+breaks, blanks between Thai letters. A mark's class says what stands at and next to it (which
+terminator, whether glued, the kind of the word before and of what comes after); the classes are
+the transducer's alphabet. The boundary rules are compiled into a table state x class -> state,
+action; the actions place starts and ends of units.
+
+Because the transducer is finite, a chunk of a document is a function from state to state. Every
+document is cut into chunks of marks; the functions of all chunks of a batch are worked out side by
+side, composed in order within each document by a doubling scan, which gives each chunk its first
+state, and then all chunks place their units side by side.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardloom.session import cut
+
 # Abbreviations, in lower case without their last point.
 #: A name or a number follows: the point never ends a sentence.
 BEFORE_NAME = frozenset(
@@ -43,8 +49,8 @@ PARTICLES = "とはのをがにでも"
 THAI_ON = re.compile(r"(?:ตาม|และ|หรือ|โดย|เพราะ|ซึ่ง|เพื่อ|แต่|จึง|เมื่อ|ของ|จาก|ที่)")
 
 TERMS = ".!?…。！？｡।॥؟۔．"
-LOOK = 2000  # how far a closing quote or bracket is looked for
-CONTEXT = 4096  # characters around a chunk that its marks may look at; above LOOK
+LOOK = 20_000  # how far a closing quote or bracket is looked for
+CONTEXT = 24_576  # characters around a chunk sent elsewhere that its marks may look at; above LOOK
 _CLOSERS = "\"'”’»)]}」』）］】“"
 _QUOTES = "\"“”„«»「」『』"
 _OPEN_B, _CLOSE_B = "([（［【", ")]）］】"
@@ -95,87 +101,155 @@ def _kind(text: str, i: int) -> str:
     return "comma" if c in ",;:，；：、،؛%" else "other"
 
 
-def _ends(text: str, a: int, b: int) -> bool:
-    """Whether the terminator text[a:b] may end a sentence, outside quotes and brackets."""
-    run = text[a:b]
-    j = _BLANKS.match(text, b).end()
-    if "\n\n" in text[b:j].replace("\r", "").replace(" ", "").replace("\t", ""):
-        return True
-    while j < len(text) and text[j] in _CLOSERS and not (text[j] in "\"“" and j + 1 < len(text) and not text[j + 1].isspace() and text[j + 1] not in TERMS + ",;:"):
-        j = _BLANKS.match(text, j + 1).end()
-    kind = _kind(text, j)
+# What the class of a terminator says. FULL marks of scripts with their own stop, dots (an ellipsis),
+# LOUD ones (! and ?), a plain stop; the word before a plain stop; what comes after.
+FULL, DOTS, LOUD, STOP = "full", "dots", "loud", "stop"
+KINDS = ("lower", "upper", "digit", "letter", "dash-lower", "comma", "other", "nothing")
+WORDS = ("word", "name", "number", "initial", "dated", "ordinal", "letters", "letters-m", "glued", "glued-word", "glued-open")
+
+
+def _may_end(run: str, glued: bool, kind: str, word: str) -> bool:
+    """Whether a terminator may end a sentence, outside quotes and brackets."""
     if kind == "nothing":
         return True
-    if run[-1] in _TERMINAL or run[0] in _TERMINAL:
+    if run == FULL:
         return kind != "comma"
-    if run.startswith("…") or "..." in run or run == "..":
-        return kind == "upper" and j > b
-    glued = j == b
-    if "!" in run or "?" in run:
+    if run == DOTS:
+        return kind == "upper" and not glued
+    if run == LOUD:
         return kind not in ("lower", "comma", "dash-lower") and not (glued and kind == "digit")
-    # A full stop.
+    if glued:
+        return word == "glued-word" and kind == "upper" or word == "glued-open" and kind == "other"
+    if kind in ("lower", "comma", "dash-lower"):
+        return False
+    never = word in ("name", "initial", "dated", "letters")
+    unless = {"number": "digit", "ordinal": "upper", "letters-m": "digit"}
+    return not never and unless.get(word) != kind
+
+
+_MONTH_AFTER = re.compile(r"\w+")
+_WORD_TWO_BEFORE = re.compile(r"(\w+)\s+$")
+_LETTER_BEFORE = re.compile(r"\b\w\.\s+$")
+
+
+def _word(text: str, a: int, j: int, glued: bool, kind: str) -> str:
+    """Kind of the word that the stop text[a] follows; text[j] is what comes after."""
     before = _WORD_BEFORE.search(text, max(0, a - 40), a)
     word = before.group(0) if before else ""
     low = word.lower().lstrip("'’")
+    named = low in BEFORE_NAME
     if glued:
-        if kind != "upper" or not text[j : j + 1].isupper():
-            return kind == "other" and text[j] in "\"“„«([—" and len(word) > 1 and not word[-1].isdigit() and low not in BEFORE_NAME
-        nxt = text[j + 1 : j + 2]
-        return len(word) > 2 and word.isalpha() and word[-1].islower() and low not in BEFORE_NAME and (nxt.islower() or not nxt.strip())
-    if kind in ("lower", "comma", "dash-lower"):
-        return False
-    if low in BEFORE_NAME or low.rpartition(".")[2] in BEFORE_NAME and "." in low:
-        return False
+        if kind == "upper" and text[j].isupper():
+            after = text[j + 1 : j + 2]
+            whole = len(word) > 2 and word.isalpha() and word[-1].islower() and not named
+            return "glued-word" if whole and (after.islower() or not after.strip()) else "glued"
+        opens = text[j] in "\"“„«([—" and len(word) > 1 and not word[-1].isdigit() and not named
+        return "glued-open" if opens else "glued"
+    if named or "." in low and low.rpartition(".")[2] in BEFORE_NAME:
+        return "name"
     if kind == "digit" and low in BEFORE_NUMBER:
-        return False
+        return "number"
     if len(word) == 1 and (word.isupper() or word.isalpha() and _POINTED.match(text, j)):
-        return False  # an initial, or the first of letters parted by blanks: "z. B.", "p. m."
+        return "initial"  # also the first of letters parted by blanks: "z. B.", "p. m."
     if word.isdigit() and len(word) <= 2:
-        nxt = re.compile(r"\w+").match(text, j)
-        if nxt and nxt.group(0).lower() in MONTHS:
-            return False
-        prior = re.compile(r"(\w+)\s+$").search(text, max(0, before.start() - 20), before.start())
-        if prior and prior.group(1).lower() in BEFORE_ORDINAL and kind == "upper":
-            return False
-    if len(low) == 1 and low.isalpha() and re.compile(r"\b\w\.\s+$").search(text, max(0, a - 6), a - 1):
-        return low == "m" and kind != "digit"  # the last of such letters: "p. m." may end a sentence
-    return True
+        after = _MONTH_AFTER.match(text, j)
+        if after and after.group(0).lower() in MONTHS:
+            return "dated"
+        prior = _WORD_TWO_BEFORE.search(text, max(0, before.start() - 20), before.start())
+        if prior and prior.group(1).lower() in BEFORE_ORDINAL:
+            return "ordinal"
+    if len(low) == 1 and low.isalpha() and _LETTER_BEFORE.search(text, max(0, a - 6), a - 1):
+        return "letters-m" if low == "m" else "letters"  # the last of such letters: "p. m." may end a sentence
+    return "word"
+
+
+def _terminator(text: str, a: int, b: int) -> int:
+    """Class of the terminator text[a:b]."""
+    run, c = text[a:b], text[a]
+    how = "TE" if c == "…" or b - a > 2 and run == "." * (b - a) else "TC" if a and text[a - 1] in _CLOSERS else "T"
+    j = _BLANKS.match(text, b).end()
+    if j - b > 1 and "\n\n" in text[b:j].replace("\r", "").replace(" ", "").replace("\t", ""):
+        kind = "nothing"
+    else:
+        while j < len(text) and text[j] in _CLOSERS and not (text[j] in "\"“" and j + 1 < len(text) and not text[j + 1].isspace() and text[j + 1] not in TERMS + ",;:"):
+            j = _BLANKS.match(text, j + 1).end()
+        kind = _kind(text, j)
+    glued, word = j == b, "word"
+    if run[-1] in _TERMINAL or c in _TERMINAL:
+        sort = FULL
+    elif c == "…" or "..." in run or run == "..":
+        sort = DOTS
+    elif "!" in run or "?" in run:
+        sort = LOUD
+    else:
+        sort = STOP
+        if kind not in ("nothing", "lower", "comma", "dash-lower") or glued and kind != "nothing":
+            word = _word(text, a, j, glued, kind)
+    return CLASSES[how, sort, glued, kind, word]
+
+
+# How a sentence goes on after a closing quote. Hints: a particle glued to it, a clause of speech, a terminator.
+HINTS = ("", "particle", "speech", "term")
+
+
+def _goes_on(stopped: bool, gap: bool, kind: str, hint: str) -> str:
+    """END, CONT, or REPORT by the next clause."""
+    if not stopped:
+        return CONT
+    if gap:
+        return END
+    if kind in ("lower", "comma", "dash-lower") or hint in ("particle", "term"):
+        return CONT
+    return REPORT if hint == "speech" else END
+
+
+_GOES_ON = {x: _goes_on(*x) for x in product((False, True), (False, True), KINDS, HINTS)}
 
 
 def _follow(text: str, a: int, b: int) -> str:
-    """How the sentence goes on after a closing quote text[a:b]: END, CONT, or REPORT by the next clause."""
+    """How the sentence goes on after a closing quote text[a:b]."""
     i = a - 1
-    while i >= 0 and text[i] in " \t\r\n  ":
+    while i >= 0 and text[i] in " \t\r\n  ":
         i -= 1
     if i < 0 or text[i] not in TERMS:
         return CONT
     j = _BLANKS.match(text, b).end()
-    if text[b:j].count("\n") > 1:
-        return END
-    kind = _kind(text, j)
-    if kind in ("lower", "comma", "dash-lower"):
-        return CONT
+    kind, hint = _kind(text, j), ""
     if kind == "letter":
         if j == b and text[j] in PARTICLES:
-            return CONT
-        if SPEECH_START.match(text, j):
-            return REPORT
-        clause = _CLAUSE.match(text, j)
-        k = clause.end()
-        if k < len(text) and text[k] in "。！？।!." and SPEECH_END.search(clause.group(0)):
-            return REPORT
+            hint = "particle"
+        elif SPEECH_START.match(text, j):
+            hint = "speech"
+        else:
+            clause = _CLAUSE.match(text, j)
+            k = clause.end()
+            if k < len(text) and text[k] in "。！？।!." and SPEECH_END.search(clause.group(0)):
+                hint = "speech"
     elif kind == "other" and j < len(text) and text[j] in TERMS:
-        return CONT
-    return END
+        hint = "term"
+    return _GOES_ON[True, text.count("\n", b, j) > 1, kind, hint]
 
 
-def _closes(text: str, i: int) -> bool:
-    """Whether the quote or bracket opened at i is closed before a blank line, within LOOK characters."""
-    c = text[i]
-    stop = min(len(text), i + LOOK)
-    for m in re.compile(f"[{re.escape(_PAIR[c])}]|\\n[ \\t\\r]*\\n").finditer(text, i + 1, stop):
-        return m.group(0)[0] != "\n"
-    return False
+_SHUT = {c: re.compile(f"[{re.escape(p)}]|\\n[ \\t\\r]*\\n") for c, p in _PAIR.items()}
+
+
+def _closer(text: str):
+    """Whether the quote or bracket opened at a place is closed before a blank line, within LOOK characters.
+
+    What was found for one place holds for all later ones before it, so a text is read once for
+    each kind of opener however many stay open.
+    """
+    found: dict[str, tuple[int, bool]] = {}
+
+    def closes(i: int) -> bool:
+        c = text[i]
+        at, shut = found.get(c, (-1, False))
+        if at <= i:
+            m = _SHUT[c].search(text, i + 1)
+            at, shut = found[c] = (m.start(), m.group(0)[0] != "\n") if m else (len(text) + 1, False)
+        return shut and at < i + LOOK
+
+    return closes
 
 
 def _line(text: str, i: int) -> str:
@@ -191,7 +265,7 @@ def marks(text: str, start: int, stop: int, first: bool) -> Iterator[tuple[int,
     """(class, from, to) of the marks that begin in text[start:stop]."""
     if first:
         yield CLASSES["P", _line(text, _BLANKS.match(text, 0).end())], start, start
-    thai = bool(_HAS_THAI.search(text))
+    thai, _closes = bool(_HAS_THAI.search(text)), _closer(text)
     for m in (_LEX_THAI if thai else _LEX).finditer(text, start):
         a, b = m.span()
         if a >= stop:
@@ -200,10 +274,7 @@ def marks(text: str, start: int, stop: int, first: bool) -> Iterator[tuple[int,
         if kind == "w":
             yield W, a, min(b, stop)
         elif kind == "t":
-            if not _ends(text, a, b):
-                yield W, a, b
-            else:
-                yield (TE if text[a] == "…" or b - a > 2 and text[a:b] == "." * (b - a) else TC if a and text[a - 1] in _CLOSERS else T), a, b
+            yield _terminator(text, a, b), a, b
         elif kind == "nl":
             breaks = m.group(0).replace("\r\n", "\n").replace("\r", "\n").count("\n")
             if b >= len(text):
@@ -228,17 +299,17 @@ def marks(text: str, start: int, stop: int, first: bool) -> Iterator[tuple[int,
                     shape = "both" if right else "close"
                 if left and text[a - 1].isdigit() and not right and shape == "close":
                     shape = "close"
-                yield CLASSES['"', shape, shape != "close" and _closes(text, a), _follow(text, a, b)], a, b
+                yield CLASSES['"', shape, shape != "close" and _closes(a), _follow(text, a, b)], a, b
             elif c in "„«「『":
-                yield CLASSES[c if c != "『" else "「", _closes(text, a)], a, b
+                yield CLASSES[c if c != "『" else "「", _closes(a)], a, b
             elif c == "“":
-                yield CLASSES["“", _closes(text, a), _follow(text, a, b)], a, b
+                yield CLASSES["“", _closes(a), _follow(text, a, b)], a, b
             else:
                 yield CLASSES[c if c != "』" else "」", _follow(text, a, b)], a, b
         else:
             c = text[a]
             if c in _OPEN_B:
-                yield CLASSES["(", _closes(text, a)], a, b
+                yield CLASSES["(", _closes(a)], a, b
             else:
                 yield CLASSES[")", _follow(text, a, b)], a, b
 
@@ -256,14 +327,16 @@ def _thai_break(text: str, a: int, b: int) -> bool:
 
 
 # Classes of marks.
-_ALL = [("W",), ("T",), ("TE",), ("TC",), ("TH",)]
+_ALL = [("W",), ("TH",)]
+_ALL += list(product(("T", "TE", "TC"), (FULL, DOTS, LOUD), (False, True), KINDS, ("word",)))
+_ALL += list(product(("T", "TE", "TC"), (STOP,), (False, True), KINDS, WORDS))
 _ALL += list(product("PN", ("head", "item", "text")))
 _ALL += list(product('"', ("open", "both", "close"), (False, True), (END, CONT, REPORT)))
 _ALL += list(product("„«「(", (False, True)))
 _ALL += list(product("“", (False, True), (END, CONT, REPORT)))
 _ALL += list(product("”»」)", (END, CONT, REPORT)))
 CLASSES = {c: i for i, c in enumerate(_ALL)}
-W, T, TE, TC, TH = (CLASSES[k,] for k in ("W", "T", "TE", "TC", "TH"))
+W, TH = (CLASSES[k,] for k in ("W", "TH"))
 
 # Actions, as bits: the unit before ends where its last mark ended; a unit starts at this mark; the unit ends after it.
 END_BEFORE, START, END_AFTER = 1, 2, 4
@@ -272,7 +345,7 @@ END_BEFORE, START, END_AFTER = 1, 2, 4
 def _step(s: tuple, c: tuple) -> tuple[tuple, int]:
     """One rule application. State: line unit, unit (0 none, 1 open, 2 just ended), quote kind, quote at unit's start, bracket, fresh line."""
     line, unit, quote, at_start, bracket, fresh = s
-    k = c[0]
+    k = c[0] if c[0][0] != "T" or c[0] == "TH" or _may_end(*c[1:]) else "W"
     if k in "PN" and len(c) == 2 and c[1] in ("head", "item", "text"):
         if k == "N" and not line and (c[1] == "text" or c[1] == "item" and not fresh):
             return s, 0
@@ -337,6 +410,9 @@ def _compile() -> tuple[list[list[tuple[int, int]]], np.ndarray]:
 
 TABLE, MOVES = _compile()
 N_STATES = len(TABLE)
+PAD = len(_ALL)  # a class that moves no state, to fill up chunks
+MOVES = np.column_stack([MOVES, np.arange(N_STATES, dtype=np.int16)])
+ACTS = np.column_stack([np.array([[a for _, a in r] for r in TABLE], dtype=np.int8), np.zeros(N_STATES, dtype=np.int8)])
 
 
 def places(text: str, start: int, stop: int, state: int, last: int, first: bool, final: bool, offset: int = 0) -> list[tuple[int, int]]:
@@ -363,6 +439,7 @@ def places(text: str, start: int, stop: int, state: int, last: int, first: bool,
 
 
 _NO_TEXT = frozenset(i for c, i in CLASSES.items() if c[0] in ("P", "N", "TH"))
+_WITHOUT_TEXT = np.array([i in _NO_TEXT or i == PAD for i in range(PAD + 1)])
 
 
 def pair(events: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -379,9 +456,75 @@ def pair(events: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+CHUNK = 32  # marks in a chunk
+
+
+def compose(functions: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """First state of every chunk: functions of each owner's chunks composed in order by a doubling scan."""
+    f, step = functions.copy(), 1
+    while step < len(f):
+        same = np.flatnonzero(owner[step:] == owner[:-step])
+        if not len(same):
+            break
+        f[same + step] = np.take_along_axis(f[same + step], f[same], axis=1)
+        step *= 2
+    first = np.append(True, owner[1:] != owner[:-1])
+    return np.where(first, 0, np.append([0], f[:-1, 0]))
+
+
+def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence units of many texts: number of the text, start and end in code points."""
+    cls, begin, end, chunk_owner, size = [], [], [], [], []
+    for i, t in enumerate(texts):
+        n = 0
+        for c, a, b in marks(t, 0, len(t), True):
+            cls.append(c)
+            begin.append(a)
+            end.append(b)
+            n += 1
+        short = -n % CHUNK
+        cls += [PAD] * short
+        begin += [0] * short
+        end += [0] * short
+        chunk_owner += [i] * ((n + short) // CHUNK)
+        size.append(n + short)
+    if not cls:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+    c, owner = np.array(cls, dtype=np.int16), np.array(chunk_owner)
+    chunks = c.reshape(-1, CHUNK)
+    # Each chunk as a function of its first state, then the first states by the scan, then all actions.
+    f = np.broadcast_to(np.arange(N_STATES, dtype=np.int16), (len(chunks), N_STATES))
+    for k in range(CHUNK):
+        f = MOVES[f, chunks[:, k, None]]
+    state, acts = compose(f, owner), np.empty_like(chunks, dtype=np.int8)
+    for k in range(CHUNK):
+        acts[:, k] = ACTS[state, chunks[:, k]]
+        state = MOVES[state, chunks[:, k]]
+    acts, begin, end = acts.ravel(), np.array(begin), np.array(end)
+    owner = np.repeat(np.arange(len(texts)), size)
+    # Where the last mark with text before each mark ends, and the last of the whole text.
+    where = np.arange(len(c))
+    heads = np.searchsorted(owner, owner, side="left")
+    held = np.maximum.accumulate(np.where(_WITHOUT_TEXT[c], -1, where))
+    last_upto = np.where(held >= heads, end[held], 0)
+    last = np.where(where > heads, np.append([0], last_upto[:-1]), 0)
+    tails = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+    on = np.column_stack([acts & END_BEFORE, acts & START, acts & END_AFTER, np.zeros(len(c), dtype=np.int8)]) > 0
+    on[tails, 3] = True  # the end of the text
+    at = np.column_stack([last, begin, end, last_upto])[on]
+    is_start = np.broadcast_to([False, True, False, False], on.shape)[on]
+    whose = np.broadcast_to(owner[:, None], on.shape)[on]
+    # Units: from each start to the last place before the next start.
+    starts = np.flatnonzero(is_start)
+    before_next = np.append(starts[1:] - 1, len(at) - 1)
+    stops = np.minimum(before_next, np.searchsorted(whose, whose[starts], side="right") - 1)
+    return whose[starts], at[starts], at[stops]
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """Sentence units of one text in code points."""
-    return pair(places(text, 0, len(text), 0, 0, True, True))
+    _, a, z = units_of([text])
+    return list(zip(a.tolist(), z.tolist()))
 
 
 def chunk_function(text: str, start: int, stop: int, first: bool) -> list[int]:
@@ -392,15 +535,6 @@ def chunk_function(text: str, start: int, stop: int, first: bool) -> list[int]:
     return to.tolist()
 
 
-def prefix(functions: np.ndarray) -> np.ndarray:
-    """First state of every chunk: functions composed in order by a doubling scan."""
-    f, step = functions.copy(), 1
-    while step < len(f):
-        f[step:] = np.take_along_axis(f[step:], f[:-step].copy(), axis=1)
-        step *= 2
-    return np.append([0], f[:-1, 0])
-
-
 def cuts(text: str, size: int) -> list[int]:
     """Chunk borders inside words, about ``size`` apart, so that no mark but a run of text is cut."""
     out, at = [0], size
@@ -440,7 +574,7 @@ def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("no")
-    state = prefix(np.array(pdf["f"].tolist(), dtype=np.int64))
+    state = compose(np.array(pdf["f"].tolist(), dtype=np.int16), np.zeros(len(pdf), dtype=np.int8))
     return pd.DataFrame({"copy": pdf["copy"].to_numpy(), "no": pdf["no"].to_numpy(), "state": state})
 
 
@@ -454,44 +588,77 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["copy", "no", "i", "at", "kind"])
 
 
-def _emit(texts: bool, bounds: bool):
-    """Unit rows of whole texts; with ``bounds`` the units are given in a third column."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())] + [("text", pa.string())] * texts)
+def _schema(texts: bool) -> pa.Schema:
+    return pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64())] + [("text", pa.string())] * texts)
+
+
+def _emit(texts: bool):
+    """Unit rows of whole texts, some megabytes of text at a time."""
+    schema = _schema(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, whole = b.column(0), b.column(1).to_pylist()
+            ends = np.cumsum([len(t) for t in whole]) // 2_000_000
+            for part in np.unique(ends):
+                rows = np.flatnonzero(ends == part)
+                mine = whole[rows[0] : rows[-1] + 1]
+                who, a, z = units_of(mine)
+                cols = [ids.take(pa.array(who + rows[0])), pa.array(a), pa.array(z)]
+                if texts:
+                    cols.append(pa.array([mine[i][x:y] for i, x, y in zip(who.tolist(), a.tolist(), z.tolist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return run
+
+
+def _slice(texts: bool):
+    """Unit rows of texts whose units are given in a third column."""
+    schema = _schema(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            given = [[(u["a"], u["z"]) for u in us] for us in b.column(2).to_pylist()] if bounds else None
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                for a, z in given[i] if bounds else units(text):
-                    rows.append((doc, a, z, text[a:z]) if texts else (doc, a, z))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+            for doc, text, given in zip(*(c.to_pylist() for c in b.columns)):
+                cols = [pa.array([doc] * len(given), pa.int64()), pa.array([u["a"] for u in given], pa.int64()), pa.array([u["z"] for u in given], pa.int64())]
+                if texts:
+                    cols.append(pa.array([text[u["a"] : u["z"]] for u in given], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
-def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 200_000, texts: bool = True) -> DataFrame:
+def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
     """Sentence units of every document: ``doc_id, start_char, end_char`` and, with ``texts``, ``text``.
 
     Positions count code points from 0, the end is exclusive. Units have no blanks at their ends,
     don't overlap, and hold every character but blanks and line breaks. A heading line and a list
     item are one unit each with their markers; a blank line ends a unit, a single line break in
     running text doesn't. Quotes and brackets stay with their sentence, quoted speech with the
-    clause that reports it. The language column isn't needed: the rules go by script and by words.
+    clause that reports it; one that isn't closed within 20 000 characters of its paragraph counts
+    as open. The language column isn't needed: the rules go by script and by words.
 
     Null, empty and blank texts have no units. Documents with the same id each give theirs. Empty
     tables give no rows; only the two named columns are read.
 
-    Documents up to ``chunk_chars`` are read in one pass without exchange. Longer ones are cut into
-    chunks that carry some context; each chunk's state function is computed, the functions of a
-    document are composed in order (a prefix scan over a few numbers for each chunk), and the
-    chunks then place their units in parallel.
+    One read without exchange. A task puts the chunks of all its documents through the scan side
+    by side; a document is read by the task that holds its row, in time linear in its length. For
+    single documents of hundreds of megabytes see :func:`spread_units`.
     """
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    ddl = "doc_id bigint, start_char bigint, end_char bigint" + ", text string" * texts
-    short = d.where(F.length("text") <= chunk_chars).mapInArrow(_emit(texts, False), ddl)
-    # A long document is known by a number of its own, as its id may be null or shared.
-    big = d.where(F.length("text") > chunk_chars).withColumn("copy", F.monotonically_increasing_id())
+    return d.mapInArrow(_emit(texts), "doc_id bigint, start_char bigint, end_char bigint" + ", text string" * texts)
+
+
+def spread_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = 200_000, texts: bool = True) -> DataFrame:
+    """The same units as :func:`sentence_units`, each document's chunks spread over the cluster.
+
+    Documents are written once to the shared checkpoint folder under a key of their own (their id
+    may be null or shared, and a key drawn anew by a second evaluation would mix texts up), cut into
+    chunks that carry some context, and exchanged. Each chunk's state function is worked out, a
+    document's functions are composed (some numbers for each chunk), and chunks then place their
+    units in parallel.
+    """
+    d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    big = cut(d.withColumn("copy", F.monotonically_increasing_id()))
     chunks = big.select("copy", "text").mapInArrow(_chunks(chunk_chars), ", ".join(f"{c} {t}" for c, t in _CHUNK)).repartition("copy", "no")
     made = chunks.mapInPandas(_functions, "copy bigint, no int, f array<int>")
     states = made.groupBy("copy").applyInPandas(_compose, "copy bigint, no int, state bigint")
@@ -504,5 +671,5 @@ def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("copy")
         .agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("units"))
     )
-    long = big.join(bounds, "copy").select("doc_id", "text", "units").mapInArrow(_emit(texts, True), ddl)
-    return short.unionByName(long)
+    ddl = "doc_id bigint, start_char bigint, end_char bigint" + ", text string" * texts
+    return big.join(bounds, "copy").select("doc_id", "text", "units").mapInArrow(_slice(texts), ddl)
