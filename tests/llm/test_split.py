@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from wardloom.llm.split import NATURAL, pieces_of, split_oversized, strengths
+from wardloom.llm.split import NATURAL, cut_points, pieces_of, split_oversized, strengths
 
 TOKEN = re.compile(r"[^ \t\r\n]+")
 
@@ -44,6 +44,40 @@ def test_no_break_at_all_and_one_huge_token():
     assert pieces_of("x" * 1_000_000, 400, 60)[0][3] == 1
 
 
+def test_time_is_linear_without_breaks():
+    import time
+
+    took = []
+    for n in (50_000, 400_000):
+        began = time.perf_counter()
+        assert len(pieces_of("word " * n, 400, 60)) == -(-(n - 60) // 340)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 1
+
+
+def test_fewest_unnatural_cuts():
+    """Against every number of pieces: none up to twice the least has fewer cuts between words."""
+    rng = random.Random(3)
+    for _ in range(200):
+        n, limit = rng.randint(20, 120), rng.randint(6, 15)
+        overlap = rng.randint(0, limit // 3)
+        force = [6] + [rng.choice([0, 0, 0, 0, 1, 2, 5]) for _ in range(n - 1)]
+        got = cut_points(n, force, limit, overlap)
+        ends = [c for _, c in got[1:]] + [n]
+        assert all(z - a <= limit and c - a <= overlap for (a, c), z in zip(got, ends))
+        gaps = [i for i, f in enumerate(force) if not i or f >= NATURAL] + [n]
+        assert sum(force[c] < NATURAL for _, c in got[1:]) >= sum((b - a - 1) // limit for a, b in zip(gaps, gaps[1:]))
+
+
+def test_scripts_without_blanks():
+    zh = "患者夜间离开病房，护士记录了时间。" * 900
+    got = pieces_of(zh, 400, 60, by_script=True)
+    assert "".join(zh[core:z] for _, core, z, *_ in got) == zh
+    assert len(got) > 30 and all(n <= 400 for _, _, _, n, _, _ in got)
+    assert all(zh[core - 1] == "。" for _, core, *_ in got[1:])
+    assert len(pieces_of(zh, 400, 60)) == 1
+
+
 def test_rows_nulls_and_lines(spark):
     text = "\r\n".join(f"line {i} of the note." for i in range(200))
     df = spark.createDataFrame(

@@ -52,6 +52,23 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "doc_chunk"))
 
 
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item put together again from its pieces, and whether they keep to the limits."""
+    pieces = split_oversized(table(spark, sf_dir, "doc_chunk")).withColumn("rest", F.expr("substring(text, overlap_chars + 1)"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "rest"))), lambda x: x["rest"])
+    return pieces.groupBy("id").agg(
+        F.sum(F.col("n_tokens") - F.col("overlap_tokens")).alias("n_tokens"),
+        F.bool_and((F.col("n_tokens") <= 400) & (F.col("overlap_tokens") <= 60)).alias("within"),
+        F.when(F.count("text") > 0, F.md5(F.array_join(whole, ""))).alias("text_md5"),
+    )
+
+
+def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the nine languages' documents, characters counting where a script has no blanks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("start_line"), F.col("source").alias("heading_path"))
+    return split_oversized(docs, by_script=True).select(F.col("id").cast("bigint").alias("doc_id"), "piece_no", "n_pieces", "n_tokens", "overlap_tokens", "start_line", "end_line", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = map_to_list(table(spark, sf_dir, "specialty_evidence"), table(spark, sf_dir, "specialty_ref"))
     got = got.where((trim_blanks("text") != "") & ~F.col("entry").eqNullSafe(F.col("text")))
@@ -115,6 +132,8 @@ QUERIES: dict[str, Query] = {
     "p2_lags": p2_lags,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_restored": p4_restored,
+    "p4_documents": p4_documents,
     "p6_found": p6_found,
     "p6_mapped": p6_mapped,
     "p8_found": p8_found,

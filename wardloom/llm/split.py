@@ -1,19 +1,24 @@
 """Splitting oversized texts at natural boundaries: balanced targets snapped to the strongest break.
 
-A token is a longest run of characters other than blank, tab, CR and LF. For a text of n tokens,
-a limit L and an overlap v, the least number of pieces is k = ceil((n - v) / (L - v)). k - 1
-targets part the text evenly; each is snapped to the strongest boundary near it that leaves both
-the piece before and all pieces after within the limit. If one of them finds no natural boundary,
-k + 1 pieces are tried, and so on; where no number of pieces up to twice the least does better,
-the least is used, with cuts between words where the text has no break.
+A token is a longest run of characters other than blank, tab, CR and LF; with ``by_script`` also each
+character of a script without blanks between words, with the marks that follow it. For a text of n
+tokens, a limit L and an overlap v, the least number of pieces is k = ceil((n - v) / (L - v)).
+k - 1 targets part the text evenly; each is snapped to the strongest boundary near it that leaves
+both the piece before and all pieces after within the limit, or, where none near it is natural, to
+one anywhere within these limits. Where cuts fall between words although the text has breaks
+enough, pieces are added: k + 1, k + 2, k + 4 and so on up to 2 k are tried, and the fewest
+unnatural cuts win, then the fewest pieces. A text in one long line is known to have no breaks and
+is tried once.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,9 @@ WORD, CLAUSE, LINE, SENTENCE, ITEM, PARAGRAPH, HEADING = range(7)
 NATURAL = LINE
 
 _TOKEN = re.compile(r"[^ \t\r\n]+")
+#: The same with a token for each character of scripts without blanks between words.
+_DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_BY_SCRIPT = regex.compile(rf"[{_DENSE}][\p{{M}}\p{{P}}]*|[^ \t\r\n{_DENSE}]+")
 _FENCE = re.compile(r"(?:```|~~~)")
 _ITEM = re.compile(r"(?:[-*+]|\d+[.)]|\|)")
 _END = re.compile(r"[.!?…。！？।؟][\"'”’»)\]」』]*$")
@@ -65,52 +73,69 @@ def strengths(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _snap(n: int, force: list[int], k: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], int] | None:
-    """(piece start with overlap, core start) of k pieces in tokens, and the weakest cut; None if it can't be."""
+def _snap(n: int, force: list[int], natural: list[int], k: int, limit: int, overlap: int) -> tuple[list[tuple[int, int]], int] | None:
+    """(piece start with overlap, core start) of k pieces in tokens, and how many cuts aren't natural; None if there can't be so many."""
     step = limit - overlap
     each = (n + (k - 1) * overlap) / k  # length of a piece
     reach = max(1, int(each / 4))
-    pieces, weakest = [(0, 0)], HEADING
+    pieces, forced = [(0, 0)], 0
+
+    def strongest(a: int, b: int, target: int) -> int | None:
+        """The strongest natural boundary from a to b, at equal strength the nearest to the target."""
+        at = natural[bisect_left(natural, a) : bisect_left(natural, b + 1)]
+        return min(at, key=lambda c: (-force[c], abs(c - target), c)) if at else None
+
     for i in range(1, k):
         start = pieces[-1][0]
         target = round(i * (each - overlap) + overlap)
         low = max(pieces[-1][1] + 1, n - (k - i) * step)
         high = min(start + limit, n - (k - i))
+        if low > high:
+            return None
         a, b = max(low, target - reach), min(high, target + reach)
         if a > b:
             a, b = low, high
-        if a > b:
-            return None
-        cut = min(range(a, b + 1), key=lambda c: (-force[c], abs(c - target), c))
-        weakest = min(weakest, force[cut])
+        cut = strongest(a, b, target)
+        if cut is None and (a, b) != (low, high):
+            cut = strongest(low, high, target)
+        if cut is None:
+            forced += 1
+            near = min(max(target, a), b)
+            clause = range(max(a, near - reach // 2), min(b, near + reach // 2) + 1)
+            cut = min(clause, key=lambda c: (-force[c], abs(c - near), c))
         back = cut
         if overlap:
             # Overlap of the full length, or a little less where that begins at a natural break.
             first = max(cut - overlap, pieces[-1][1] + 1)
             if first < cut:
-                back = min(range(first, max(first + 1, cut - overlap // 2)), key=lambda c: (-(force[c] if force[c] >= NATURAL else 0), c))
+                back = strongest(first, max(first, cut - overlap // 2 - 1), first) or first
         pieces.append((back, cut))
-    return pieces, weakest
+    return pieces, forced
 
 
 def cut_points(n: int, force: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start with overlap, core start) of every piece, in tokens."""
     if n <= limit:
         return [(0, 0)]
+    natural = [i for i, f in enumerate(force) if i and f >= NATURAL]
+    # A stretch without a natural boundary forces a cut after every ``limit`` tokens.
+    edges = [0, *natural, n]
+    least_forced = sum((b - a - 1) // limit for a, b in zip(edges, edges[1:]))
     least = -(-(n - overlap) // (limit - overlap))
-    best = None
-    for k in range(least, 2 * least + 1):
-        got = _snap(n, force, k, limit, overlap)
-        if got and (best is None or got[1] > best[1]):
+    best, more = None, 0
+    while more <= least:
+        got = _snap(n, force, natural, least + more, limit, overlap)
+        if got and (best is None or got[1] < best[1]):
             best = got
-        if best and best[1] >= NATURAL:
+        if best[1] <= least_forced:
             break
+        more = more * 2 or 1
     return best[0]
 
 
-def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, int]]:
+def pieces_of(text: str, limit: int, overlap: int, by_script: bool = False) -> list[tuple[int, int, int, int, int, int]]:
     """Pieces of a text: (from char, core from char, to char, tokens, overlap tokens, last char of the last token)."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    spans = [m.span() for m in (_BY_SCRIPT if by_script else _TOKEN).finditer(text)]
     if len(spans) <= limit:
         return [(0, 0, len(text), len(spans), 0, spans[-1][1] if spans else 0)]
     points = cut_points(len(spans), strengths(text, spans), limit, overlap)
@@ -140,7 +165,7 @@ _SCHEMA = pa.schema(
 )
 
 
-def _run(limit: int, overlap: int, texts: bool):
+def _run(limit: int, overlap: int, texts: bool, by_script: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
@@ -149,7 +174,7 @@ def _run(limit: int, overlap: int, texts: bool):
                 if text is None:
                     rows.append((key, 1, 1, 0, 0, 0, line, line, path, None))
                     continue
-                got = pieces_of(text, limit, overlap)
+                got = pieces_of(text, limit, overlap, by_script)
                 lines, at = 0, 0  # line breaks before ``at``
                 for i, (a, core, z, n, shared, last) in enumerate(got):
                     lines += text.count("\n", at, a) if a >= at else -text.count("\n", a, at)
@@ -181,6 +206,7 @@ def split_oversized(
     heading_path: str = "heading_path",
     only_split: bool = False,
     texts: bool = True,
+    by_script: bool = False,
 ) -> DataFrame:
     """Pieces of every item, each within ``limit`` tokens, consecutive ones sharing up to ``overlap``.
 
@@ -191,8 +217,9 @@ def split_oversized(
 
     An item within the limit is one piece. A null text is one piece without text; an empty or
     blank text one piece of no tokens. Null start_line stays null, so does heading_path. Items
-    with the same id each come out. A token of any length counts as one. ``only_split`` leaves
-    out items within the limit, ``texts=False`` the pieces' texts. Needs 0 <= overlap < limit.
+    with the same id each come out. A token of any length counts as one; with ``by_script``, for
+    texts in scripts without blanks between words, each of their characters is a token. ``only_split``
+    leaves out items within the limit, ``texts=False`` the pieces' texts. Needs 0 <= overlap < limit.
     An empty table gives no rows; columns other than those named aren't read.
 
     One pass without exchange, an item at a time; ``only_split`` skips items too short to hold
@@ -204,6 +231,6 @@ def split_oversized(
         F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), F.col(start_line).cast("int").alias("line"), F.col(heading_path).cast("string").alias("path")
     )
     if only_split:
-        rows = rows.where(F.length("text") > 2 * limit)
-    out = rows.mapInArrow(_run(limit, overlap, texts), _DDL)
+        rows = rows.where(F.length("text") > (limit if by_script else 2 * limit))
+    out = rows.mapInArrow(_run(limit, overlap, texts, by_script), _DDL)
     return out.where("n_pieces > 1") if only_split else out

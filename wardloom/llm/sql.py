@@ -66,6 +66,7 @@ SQL: dict[str, str] = {
     "p2_found": f"select chart_id, seq from ({_NEAREST})",
     "p2_lags": f"select chart_id, seq, round(d / 1e6, 6) as lag_s from ({_NEAREST})",
     "p4_found": "select id from doc_chunk where len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 400",
+    "p4_restored": "select id, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::bigint as n_tokens, true as within, md5(text) as text_md5 from doc_chunk",
     "p8_found": _LEAKS + "select item_id, doc_id from cover where 2 * k >= n",
     "p8_stretches": _LEAKS + "select item_id, doc_id, k as found, n as length, k = n as whole from cover",
     "p8_documents": _LEAKS
