@@ -57,3 +57,22 @@ def test_mix(spark):
     assert all(abs(whole[s].reached_share - t / 0.95) < 0.01 for s, t in (("a", 0.6), ("b", 0.3), ("c", 0.05)))
     for empty in (mix_sources(df.limit(0), targets), mix_sources(df, targets.limit(0))):
         assert empty[0].count() == 0 and all(r.mixed_tokens == 0 for r in empty[1].collect())
+
+
+def test_a_huge_record_among_many_lengths_needs_little_memory():
+    import random
+    import resource
+
+    rng = random.Random(6)
+    lengths = [*range(20, 1520), 1_000_000]
+    counts = [rng.randint(1, 4) for _ in lengths[:-1]] + [1]
+    total = sum(a * n for a, n in zip(lengths, counts))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for budget in (total // 2, total - 1_000_000, 700_001, total - 3):
+        take = fit_lengths(lengths, counts, budget)
+        assert all(0 <= k <= n for k, n in zip(take, counts))
+        assert abs(sum(a * k for a, k in zip(lengths, take)) - budget) <= 17 * (budget == total - 3)
+    many = [1_000_000 + 7 * i for i in range(1500)]
+    take = fit_lengths(many, [3] * 1500, sum(many))
+    assert sum(a * k for a, k in zip(many, take)) == sum(many)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 250_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 from pathlib import Path
@@ -22,8 +23,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Hash cells by which the records of one source and length are drawn.
 CELLS = 1024
-#: Budget left to the subset-sum, in lengths of the longest record.
-SLACK = 16
+#: Budget left to the subset-sum, in lengths of the longest record that takes part; less where its bits
+#: would be more than WIDTH. Of the sums reached, one in SAVED stages is kept for the way back.
+SLACK, WIDTH, SAVED = 16, 1 << 23, 48
 
 
 def token_counts(df: DataFrame, text: str, keep: list[str], path: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -52,16 +54,51 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
 
     Never more than there are. A first part is taken in proportion to what there is, so that the
     drawn records are spread over lengths as the source is; the budget that remains, SLACK to
-    2 * SLACK times the longest record, is met by bounded subset-sum over the records left. At equal
-    distance the smaller sum is taken.
+    2 * SLACK times a typical length, is met by bounded subset-sum over the records left that
+    aren't longer. Typical is the median length, or a higher quantile where records up to it can't
+    meet the budget. At equal distance the smaller sum is taken.
     """
     total = sum(a * n for a, n in zip(lengths, counts))
     if budget >= total:
         return list(counts)
     if budget <= 0:
         return [0] * len(counts)
-    longest = max(lengths)
-    share = max(0.0, (budget - SLACK * longest) / total)
+    upto = list(accumulate(n for _, n in sorted(zip(lengths, counts))))
+    best: list[int] = []
+    for quantile in (0.5, 0.9, 0.99, 1.0):
+        typical = sorted(lengths)[bisect_left(upto, quantile * upto[-1])]
+        take = _fit_up_to(lengths, counts, budget, typical)
+        off = [abs(sum(a * k for a, k in zip(lengths, x)) - budget) for x in (take, best) if x]
+        if take and off[0] == min(off):
+            best = take
+        if best and min(off) == 0:
+            break
+    return best
+
+
+def _fit_up_to(lengths: list[int], counts: list[int], budget: int, typical: int) -> list[int]:
+    """A fit whose last part has no record longer than ``typical``; empty if such records can't be the last part."""
+    total = sum(a * n for a, n in zip(lengths, counts))
+    take, spent = [0] * len(counts), 0
+    # Longer records in proportion, rounded down over the running count from the longest on.
+    seen = used = 0
+    for i in sorted((i for i, a in enumerate(lengths) if a > typical), key=lambda i: -lengths[i]):
+        seen += counts[i]
+        take[i] = min(counts[i], int(seen * (budget / total)) - used)
+        used, spent = used + take[i], spent + take[i] * lengths[i]
+    short = [i for i, a in enumerate(lengths) if a <= typical]
+    mine = sum(lengths[i] * counts[i] for i in short)
+    if not 0 <= budget - spent <= mine:
+        return []
+    for i, k in zip(short, _fill([lengths[i] for i in short], [counts[i] for i in short], budget - spent)):
+        take[i] = k
+    return take
+
+
+def _fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    total, longest = sum(a * n for a, n in zip(lengths, counts)), max(lengths)
+    slack = max(2, min(SLACK, WIDTH // (2 * longest)))
+    share = max(0.0, (budget - slack * longest) / total)
     # Rounded over the running count, so that lengths of few records get their part too.
     upto = [0, *accumulate(counts)]
     take = [int(b * share) - int(a * share) for a, b in zip(upto, upto[1:])]
@@ -70,23 +107,26 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
     # Lengths in an order that is spread over their range from the start.
     order = sorted(range(len(lengths)), key=lambda i: (i * 0.6180339887498949) % 1.0)
     for i in order:
-        if rest <= 2 * SLACK * longest:
+        if rest <= 2 * slack * longest:
             break
-        k = min(left[i], max(0, rest - SLACK * longest) // lengths[i])
+        k = min(left[i], max(0, rest - slack * longest) // lengths[i])
         take[i], left[i], rest = take[i] + k, left[i] - k, rest - k * lengths[i]
-    # Bits of ``reach`` are the sums that can be made; one layer is kept for each item to walk back.
+    # Bits of ``reach`` are the sums that can be made, item by item.
     unit = math.gcd(*(a for a, k in zip(lengths, left) if k)) or 1
     lengths, (rest, odd), longest = [a // unit for a in lengths], divmod(rest, unit), longest // unit
     limit = rest + longest
     full = (1 << (limit + 1)) - 1
-    reach, layers = 1, []
+    items: list[tuple[int, int]] = []  # position, how many records
+    reach, saved = 1, [1]  # saved: before every SAVED-th item
     # One record of each length first, then the rest of them.
     for i, most in [*((i, min(1, left[i])) for i in order), *((i, left[i] - 1) for i in order)]:
         part, have = 1, max(0, min(most, limit // lengths[i]))
         while have:
             k = min(part, have)
-            layers.append((i, k, reach))
+            items.append((i, k))
             reach |= (reach << (k * lengths[i])) & full
+            if len(items) % SAVED == 0:
+                saved.append(reach)
             have, part = have - k, part * 2
             if not odd and reach >> rest & 1:
                 break
@@ -99,9 +139,15 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         up = rest + 1 + (above & -above).bit_length() - 1
         if (up - rest) * unit - odd < (rest - below) * unit + odd:
             goal = up
-    for i, k, before in reversed(layers):
-        if not before >> goal & 1:
-            take[i], goal = take[i] + k, goal - k * lengths[i]
+    # Walk back from the goal; the sums before each item are made again, one stage at a time.
+    for stage in range((len(items) - 1) // SAVED, -1, -1):
+        part = items[stage * SAVED : (stage + 1) * SAVED]
+        before = [saved[stage]]
+        for i, k in part[:-1]:
+            before.append(before[-1] | (before[-1] << (k * lengths[i])) & full)
+        for (i, k), reached in zip(reversed(part), reversed(before)):
+            if not reached >> goal & 1:
+                take[i], goal = take[i] + k, goal - k * lengths[i]
     return take
 
 
