@@ -3,7 +3,7 @@ import random
 from datetime import datetime, timedelta
 
 from wardloom.llm.nearest import match_nearest, place_keys
-from wardloom.llm.runs import collapse_runs, segment
+from wardloom.llm.runs import apart, collapse_runs, segment
 
 T0 = datetime(2026, 1, 5, 8)
 EVENT = "seq long, event_ts timestamp_ntz, subject_kind string, subject string, activity string, location string, n_events int"
@@ -98,6 +98,53 @@ def test_soft_weights_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_near_runs_equal_exhaustive_search(spark):
+    """Every way to cut short sequences, in several partitions, at weights where strays merge."""
+    from itertools import product as every
+
+    rng, penalty, wa, wp = random.Random(21), 1.0, 0.4, 0.6
+    rows, want, seq = [], [], 0
+    for s in range(60):
+        n = rng.randint(1, 9)
+        ev, lead = [], rng.choice("ab")
+        for i in range(n):
+            seq += 1
+            ev.append((seq, T0 + timedelta(seconds=s * 10_000 + i * 10), "clinician", f"C{s % 3}", lead if rng.random() < 0.7 else rng.choice("abc"), rng.choice("ppq"), 0))
+        rows += ev
+        cost = lambda part: wa * (len(part) - max(map([x[4] for x in part].count, "abc"))) + wp * (len(part) - max(map([x[5] for x in part].count, "pq"))) + penalty
+        best = None
+        for bits in every((0, 1), repeat=n - 1):
+            at = [0, *(i + 1 for i, b in enumerate(bits) if b), n]
+            c = round(sum(cost(ev[a:b]) for a, b in zip(at, at[1:])), 9)
+            best = min(best or c, c)
+        want.append((ev, best, cost))
+    df = spark.createDataFrame(rows, EVENT)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "9", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r.first_seq: r.n_events for r in collapse_runs(df, penalty=penalty, w_activity=wa, w_place=wp).collect()}
+            assert sum(got.values()) == len(rows)
+            for ev, best, cost in want:
+                at = [i for i, x in enumerate(ev) if x[0] in got] + [len(ev)]
+                assert at[0] == 0 and round(sum(cost(ev[a:b]) for a, b in zip(at, at[1:])), 9) == best
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_heavy_neighbours_are_cut_at_once():
+    """A subject without any pause: runs leave the scan as soon as two heavy atoms meet."""
+    rng = random.Random(4)
+    atoms = [[i, i, i, i, rng.choice([1, 1, 2, 8, 9]), rng.choice("ab"), rng.choice("pq")] for i in range(60)]
+    atoms = [a for a, b in zip(atoms, [[None] * 7, *atoms]) if a[5:] != b[5:]]
+    p = (1.0, 0.4, 0.6)
+    starts = segment([a[5] for a in atoms], [a[6] for a in atoms], [a[4] for a in atoms], *p)
+    cuts = [i for i in range(1, len(atoms)) if apart(atoms[i - 1], atoms[i], p)]
+    assert cuts and set(cuts) <= set(starts)
+
+
 def test_runs_edge_cases(spark):
     df = spark.createDataFrame(
         [

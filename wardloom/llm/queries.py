@@ -28,6 +28,12 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.drop("last_seq").withColumn("duration_s", F.round("duration_s", 6))
 
 
+def p1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of near-identical events: a stray read or two inside a run stays in it."""
+    runs = collapse_runs(table(spark, sf_dir, "ward_event"), w_activity=0.4, w_place=0.6)
+    return runs.drop("last_seq").withColumn("duration_s", F.round("duration_s", 6))
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     ward = table(spark, sf_dir, "ward_event").where(kind_key("subject_kind") == "clinician")
     return match_nearest(
@@ -128,6 +134,7 @@ def p10_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_runs": p1_runs,
+    "p1_near": p1_near,
     "p2_found": p2_found,
     "p2_lags": p2_lags,
     "p4_found": p4_found,
