@@ -146,3 +146,18 @@ def test_event_lines_read_what_a_csv_writer_writes(spark):
     for i, _, cells in rows:
         r = got[i]
         assert r.reason is None and [x or "" for x in (r.subject, r.activity, r.location, r.source)] == cells[2:6]
+
+
+def test_batches_without_a_record_that_can_be_read():
+    import pyarrow as pa
+
+    from wardloom.sources.event_lines import classify
+
+    got = classify(pa.array([1, 2], pa.int64()), pa.array(['"open', None]))
+    assert got.column("reason").to_pylist() == ["broken_quoting", "column_count"]
+    assert classify(pa.array([], pa.int64()), pa.array([], pa.string())).num_rows == 0
+    numbers = ["1.", ".5", "+0.5", "1e-1", "-0", "0.5.", "1e", "2", "-.1", "", " 1 "]
+    rows = [f"2026-01-05T08:00,patient,S,a,l,x,{c}" for c in numbers]
+    got = classify(pa.array(range(len(rows)), pa.int64()), pa.array(rows))
+    assert got.column("confidence").to_pylist() == [1.0, 0.5, 0.5, 0.1, 0.0, None, None, None, None, 1.0, 1.0]
+    assert got.column("failing_cell").to_pylist() == [None] * 5 + ["0.5.", "1e", "2", "-.1"] + [None] * 2

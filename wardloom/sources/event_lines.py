@@ -17,6 +17,7 @@ from wardloom.operators.ordered import from_micros
 FIELDS = ("timestamp", "subject_kind", "subject", "activity", "location", "source", "confidence")
 #: Reasons in the order in which the checks run.
 REASONS = ("broken_quoting", "column_count", "invalid_timestamp", "invalid_subject_kind", "invalid_confidence")
+QUOTING, COLUMNS, STAMP, KIND, CONFIDENCE, LOADED = range(6)
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _QUOTED_WELL = rf"(?s)\A{_FIELD}(?:,{_FIELD})*\z"
@@ -40,29 +41,30 @@ _DDL = (
 )
 
 
-def _split(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-    """Positions of the records with seven fields, and their fields; the reader rejects the rest.
+def _split(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Positions that the reader's callback rejects for their number of fields, positions read, and their fields.
 
     Each record gets its position as a field before it, so that the rejects' text names it.
     """
+    if not len(lines):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [pa.array([], pa.string()) for _ in FIELDS]
     wrong: list[int] = []
 
     def reject(row: pv.InvalidRow) -> str:
-        head = row.text.partition(",")[0]
-        if head.isdigit():
-            wrong.append(int(head))
+        wrong.append(int(row.text.partition(",")[0]))
         return "skip"
 
     numbered = pc.binary_join_element_wise(pc.cast(pa.array(np.arange(len(lines))), pa.string()), lines, ",")
-    text = "\n".join(numbered.to_pylist()).encode() + b"\n"
+    text = pa.concat_arrays([pc.binary_join(pa.ListArray.from_arrays([0, len(numbered)], numbered), "\n"), pa.array(["\n"])])
+    data = pc.binary_join(pa.ListArray.from_arrays([0, 2], text), "").cast(pa.binary())[0].as_buffer()
     names = ["at", *FIELDS]
     got = pv.read_csv(
-        pa.BufferReader(text),
-        read_options=pv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, len(text) + 1)),
+        pa.BufferReader(data),
+        read_options=pv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, data.size + 1)),
         parse_options=pv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False, invalid_row_handler=reject),
-        convert_options=pv.ConvertOptions(column_types={c: pa.string() for c in names}, strings_can_be_null=False, check_utf8=False),
+        convert_options=pv.ConvertOptions(column_types={"at": pa.int64(), **{c: pa.string() for c in FIELDS}}, strings_can_be_null=False, check_utf8=False),
     ).combine_chunks()
-    return np.array([int(x) for x in got.column("at").to_pylist()], dtype=np.int64), [got.column(c).combine_chunks() for c in FIELDS]
+    return np.array(wrong, dtype=np.int64), got.column("at").to_numpy(), [got.column(c).combine_chunks() for c in FIELDS]
 
 
 def _stamps(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +99,17 @@ def _stamps(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return good, total * 1_000_000 + us
 
 
-def _fractions(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _fractions(cells: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Validity and value of confidence cells; an empty cell is valid and counts as 1.0."""
-    empty = pc.equal(cells, "").to_numpy(zero_copy_only=False)
+    empty = pc.equal(cells, "")
     bare = pc.utf8_trim(cells, _TRIM)
     hit = pc.match_substring_regex(bare, _NUMBER)
-    # Arrow's cast refuses forms such as "1." or "+0.5", so Python reads what matched.
-    value = np.array([float(x) if ok else np.nan for x, ok in zip(bare.to_pylist(), hit.to_pylist())])
-    good = empty | ((value >= 0) & (value <= 1))
-    return good, np.where(empty, 1.0, value)
+    # The vector cast wants a digit on both sides of the point and no plus sign.
+    plain = pc.replace_substring_regex(pc.if_else(hit, bare, "0"), r"\A\+", "")
+    plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"\A(-?)\.", r"\10."), r"\.(\z|[eE])", r".0\1")
+    value = pc.cast(plain, pa.float64())
+    within = pc.and_(hit, pc.and_(pc.greater_equal(value, 0), pc.less_equal(value, 1)))
+    return pc.or_(empty, within).to_numpy(zero_copy_only=False), pc.if_else(empty, 1.0, value)
 
 
 def classify(ids: pa.Array, lines: pa.Array) -> pa.RecordBatch:
@@ -117,32 +121,37 @@ def classify(ids: pa.Array, lines: pa.Array) -> pa.RecordBatch:
     # An unquoted line break would end the record early: more than one record isn't seven fields.
     bare = pc.replace_substring_regex(lines, r'"(?:[^"]|"")*"', "")
     torn = pc.match_substring_regex(bare, r"[\r\n]").to_numpy(zero_copy_only=False)
-    reason = np.where(well, 1, 0)  # broken_quoting unless the fields are read
+    reason = np.where(well, COLUMNS, QUOTING)
+    loaded = np.full(n, -1)  # row among the fields of a record that loads
+    faulty = np.full(n, -1)  # cell at fault, counted over the three columns that can be
     at = np.flatnonzero(well & ~torn)
-    out: dict[str, list] = {c: [None] * n for c in ("failing_cell", "event_us", *FIELDS[1:])}
-    if len(at):
-        rows, cells = _split(lines.take(pa.array(at)))
-        at = at[rows]
-        ok_t, us = _stamps(cells[0])
-        kinds = pc.utf8_lower(pc.utf8_trim(cells[1], _TRIM))
-        ok_k = pc.is_in(kinds, pa.array(["clinician", "patient"])).to_numpy(zero_copy_only=False)
-        ok_c, conf = _fractions(cells[6])
-        code = np.where(~ok_t, 2, np.where(~ok_k, 3, np.where(~ok_c, 4, 5)))
-        reason[at] = code
-        texts = [c.to_pylist() for c in cells]
-        kinds = kinds.to_pylist()
-        for j, (i, c) in enumerate(zip(at.tolist(), code.tolist())):
-            if c == 5:
-                out["event_us"][i], out["confidence"][i], out["subject_kind"][i] = int(us[j]), float(conf[j]), kinds[j]
-                for k in (2, 3, 4, 5):
-                    out[FIELDS[k]][i] = texts[k][j] or None
-            else:
-                out["failing_cell"][i] = texts[{2: 0, 3: 1, 4: 6}[c]][j]
-    names = [*REASONS, None]
-    cols = {"line_id": ids, "reason": [names[c] for c in reason.tolist()], **out}
-    return pa.RecordBatch.from_arrays(
-        [cols[c] if c == "line_id" else pa.array(cols[c], t) for c, t in _OUT], schema=pa.schema(_OUT)
-    )
+    wrong, read, cells = _split(lines.take(pa.array(at)))
+    if len(wrong) + len(read) != len(at):
+        raise ValueError("the reader neither read nor rejected some records")
+    reason[at[wrong]] = COLUMNS
+    at = at[read]
+    ok_t, us = _stamps(cells[0])
+    kinds = pc.utf8_lower(pc.utf8_trim(cells[1], _TRIM))
+    ok_k = pc.is_in(kinds, pa.array(["clinician", "patient"])).to_numpy(zero_copy_only=False)
+    ok_c, confidence = _fractions(cells[6])
+    code = np.where(~ok_t, STAMP, np.where(~ok_k, KIND, np.where(~ok_c, CONFIDENCE, LOADED)))
+    reason[at] = code
+    rows = np.arange(len(at))
+    loaded[at] = np.where(code == LOADED, rows, -1)
+    faulty[at] = np.where(code == LOADED, -1, (code - STAMP) * len(at) + rows)
+
+    def spread(values: pa.Array, where: np.ndarray) -> pa.Array:
+        """Values at the places given, null where there is none (-1)."""
+        return values.take(pa.array(where, mask=where < 0))
+
+    texts = [pc.if_else(pc.equal(cells[k], ""), None, cells[k]) for k in (2, 3, 4, 5)]
+    cols = [
+        ids,
+        pa.array([*REASONS, None]).take(pa.array(reason)),
+        spread(pa.concat_arrays([cells[0], cells[1], cells[6]]), faulty),
+        *(spread(x, loaded) for x in (pa.array(us), kinds, *texts, confidence)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, schema=pa.schema(_OUT))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +173,7 @@ def parse_event_lines(df: DataFrame, line_id: str = "line_id", raw: str = "raw_l
 
     Quoting is checked by one regular expression over the batch; the well-quoted records of a
     batch then go through one CSV reader whose invalid-row callback takes those with another
-    number of fields; all fields are read as strings and cast as vectors. No exchange.
+    number of fields and names them; fields are read as strings and cast as vectors. No exchange.
     """
     got = df.select(F.col(line_id).cast("bigint").alias("line_id"), F.col(raw).cast("string").alias("raw")).mapInArrow(_read, _DDL)
     return got.select(
