@@ -125,6 +125,27 @@ def test_episodes_equal_a_sequential_fold(spark):
     assert found(spark, ev(rows)) == fold(ev(rows))
 
 
+@pytest.mark.parametrize("shape", ["mixed", "one place", "dense", "returns"])
+def test_episodes_do_not_depend_on_partitions(spark, shape):
+    """Also where one subject holds all rows, stays at one place for good, or is seen everywhere without a pause."""
+    rng, rows, t = random.Random(5), [], 0
+    pauses = {"mixed": [0, 10, 30, 90, 91, 200, 4000], "one place": [5, 91, 300], "dense": [0, 1, 2, 20], "returns": [20, 40, 89, 92]}[shape]
+    for _ in range(1200):
+        t += rng.choice(pauses)
+        place = "x" if shape == "one place" else rng.choice("xxxy") if shape == "returns" else rng.choice("xyz")
+        rows.append((t, "a" if shape != "mixed" else rng.choice("aab"), rng.choice(["arrive", "ping", "ping", "depart", "look"]), place))
+    want = fold(ev(rows), least=0)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "6", "45"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert found(spark, ev(rows), min_dwell_s=0) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_clean_log_gives_back_its_visits(spark):
     events, truth = synthetic.event_log(spark, G.Layout(), synthetic.LogConfig(n_days=2))
     eps = E.episodes(events.withColumnRenamed("location", "place"))
