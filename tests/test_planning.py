@@ -171,6 +171,9 @@ def test_line_windows():
     got = R.line_windows(lines, 1, 10, 30, 10)
     assert got == [(1, 3), (3, 5), (5, 7), (7, 9), (9, 10)]
     assert R.line_windows(["w " * 100, "w"], 1, 2, 30, 5) == [(1, 1), (2, 2)]
+    assert R.line_windows(lines, 1, 6, 40, 15) == [(1, 4), (3, 6)]  # back until 15 tokens are shared
+    assert R.line_windows(["", "", "w " * 50, "w"], 1, 4, 30, 0) == [(1, 3), (4, 4)]
+    assert R.line_windows(lines, 3, 5, 10, 0) == [(3, 3), (4, 4), (5, 5)]
 
 
 def test_other_chunkers():

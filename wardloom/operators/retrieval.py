@@ -5,7 +5,10 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import xor
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,44 +25,33 @@ TOKEN = "[a-z0-9]+"
 
 # Chunkers: (start line, end line, heading path, text), lines from 1.
 def heading_sections(lines: list[str]) -> list[tuple[int, int, str]]:
-    """Line ranges under each heading with the path ``a > b > c``; text before the first heading has an empty path."""
-    out, stack, start = [], [], 1
+    """Line ranges under each heading with the path ``a > b > c``; text before the first heading has an empty path.
 
-    def close(end: int) -> None:
-        if end >= start:
-            out.append((start, end, " > ".join(t for _, t in stack)))
-
-    fenced = False
-    for i, line in enumerate(lines, 1):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-        m = None if fenced else re.match(r"(#{1,6})\s+(.*\S)\s*$", line)
-        if m:
-            close(i - 1)
-            level = len(m[1])
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            stack.append((level, m[2]))
-            start = i
-    close(len(lines))
-    return out
+    Each heading fills the slot of its level and empties the deeper ones; the filled slots are its path.
+    """
+    inside = accumulate((x.lstrip().startswith("```") for x in lines), xor)
+    heads = [(0, 0, "")] + [
+        (at, len(m[1]), m[2]) for at, (line, fenced) in enumerate(zip(lines, inside)) if not fenced and (m := re.match(r"(#{1,6})\s+(.*\S)\s*$", line))
+    ]
+    slots = accumulate(heads, lambda held, head: {**{k: v for k, v in held.items() if k < head[1]}, head[1]: head[2]}, initial={})
+    ends = [at for at, _, _ in heads[1:]] + [len(lines)]
+    return [(at + 1, end, " > ".join(v for k, v in sorted(held.items()) if k)) for (at, _, _), end, held in zip(heads, ends, list(slots)[1:]) if end > at]
 
 
 def line_windows(lines: list[str], first: int, last: int, max_tokens: int = 400, overlap: int = 60) -> list[tuple[int, int]]:
-    """Greedy windows of whole lines: as many as fit in ``max_tokens``, at least one; the next backs up over at most ``overlap`` tokens and always moves on."""
-    size = [len(x.split()) for x in lines]
-    out, a = [], first
-    while a <= last:
-        b, n = a, size[a - 1]
-        while b < last and n + size[b] <= max_tokens:
-            n, b = n + size[b], b + 1
-        out.append((a, b))
-        if b >= last:
+    """Greedy windows of whole lines by running token counts: as many as fit in ``max_tokens``, and the first line with tokens in any case.
+
+    The next window goes back by whole lines until it shares at least ``overlap`` tokens, but begins
+    later than this one.
+    """
+    upto = [0, *accumulate(len(x.split()) for x in lines[first - 1 : last])]  # tokens before each line
+    out, a, n = [], 0, len(upto) - 1
+    while a < n:
+        b = min(n, max(bisect_right(upto, upto[a] + max_tokens) - 1, bisect_right(upto, upto[a])))
+        out.append((first + a, first + b - 1))
+        if b == n:
             break
-        nxt, back = b + 1, 0
-        while nxt - 1 > a and back + size[nxt - 2] <= overlap:
-            back, nxt = back + size[nxt - 2], nxt - 1
-        a = max(nxt, a + 1)
+        a = max(a + 1, bisect_right(upto, upto[b] - overlap) - 1) if overlap else b
     return out
 
 
