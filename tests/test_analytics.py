@@ -257,4 +257,4 @@ def test_day_types_come_back(spark):
 
 def test_trace_text(spark):
     rows = [ep("D", "1A/BED1", None, 5, 12), ep("C", "1A/BED0", "p", 0, 3), ep("C", "1A/BED3", "q", 20, 45)]
-    assert V.trace_text(spark.createDataFrame(rows, EP)).first().trace == "round 1: BED0 brief BED3 extended ; round 2: BED1 medium"
+    assert V.trace_text(spark.createDataFrame(rows, EP)).first().trace == "round 0: bed0 brief bed3 extended ; round 1: bed1 medium"

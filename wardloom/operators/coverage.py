@@ -13,6 +13,8 @@ from wardloom.operators.suppression import MIN_CLINICIANS, MIN_PATIENTS, above_f
 from wardloom.session import small_side
 
 Z = 1.959963984540054
+#: Counters kept apart for the patients of one drawn ward-day; none has as many.
+STRIDE = 1_000_000
 
 
 class InsufficientCoverage(ValueError):
@@ -72,9 +74,11 @@ def coverage_bootstrap(units: DataFrame, n_replicates: int = 1000, seed: int = 7
     draws = draws.withColumn("unit", (draw(seed, F.col("replicate"), F.col("k")) % n).cast("int")).join(numbered, "unit")
     inner = F.filter(
         F.sequence(F.lit(1), F.col("n_patients").cast("int")),
-        lambda p: draw(seed + 1, F.col("replicate"), F.col("k") * 10_000 + p) % F.col("n_patients") < F.col("n_covered"),
+        lambda p: draw(seed + 1, F.col("replicate"), F.col("k") * STRIDE + p) % F.col("n_patients") < F.col("n_covered"),
     )
-    draws = draws.withColumn("hits", F.when(F.col("n_patients") > 0, F.size(inner)).otherwise(0))
+    # Where all or none are covered the draws can't change it.
+    hits = F.when(F.col("n_covered") == 0, 0).when(F.col("n_covered") >= F.col("n_patients"), F.col("n_patients")).otherwise(F.size(inner))
+    draws = draws.withColumn("hits", hits)
     return draws.groupBy("strategy", "replicate").agg((F.sum("hits") / F.when(F.sum("n_patients") > 0, F.sum("n_patients"))).alias("coverage"))
 
 

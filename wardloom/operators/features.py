@@ -110,30 +110,39 @@ def _distances(pdf: pd.DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.n
     return m, label, d[np.arange(len(m)), label]
 
 
-def _furthest(df: DataFrame, key: list[str], centres: list[list[float]]) -> list[float]:
-    """The row furthest from all centres (ties by key): each partition offers one, the best of those is taken."""
-    c = np.array(centres)
+def _furthest(df: DataFrame, key: list[str], centres: list[list[float]], race: Column | None = None) -> list[float]:
+    """The row furthest from all centres (ties by key): each partition offers one, the best of those is taken.
+
+    With ``race``, a uniform draw for each row, one row is drawn with a chance in proportion to its
+    squared distance instead: the first to arrive of exponential waits at these rates.
+    """
+    c, drawn = np.array(centres), race is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for pdf in batches:
             if len(pdf):
-                pdf = pdf.assign(d=_distances(pdf, c)[2])
+                d = _distances(pdf, c)[2]
+                pdf = pdf.assign(d=d / -np.log(np.clip(pdf["u"], 1e-300, 1 - 1e-16)) if drawn else d)
                 top = pdf[pdf["d"] == pdf["d"].max()].sort_values(key).head(1)
                 best = top if best is None else pd.concat([best, top]).sort_values(["d", *key], ascending=[False, *[True] * len(key)]).head(1)
         if best is not None:
             yield best[[*key, "v", "d"]]
 
     kinds = ", ".join(f"{n} {t}" for n, t in df.select(*key).dtypes)
-    offers = df.select(*key, "v").mapInPandas(run, f"{kinds}, v array<double>, d double")
+    offers = df.select(*key, "v", (F.lit(0.0) if race is None else race).alias("u")).mapInPandas(run, f"{kinds}, v array<double>, d double")
     return list(offers.orderBy(F.desc("d"), *key).limit(1).first()["v"])
 
 
-def furthest_first(df: DataFrame, key: list[str], k: int) -> list[list[float]]:
-    """k starting centres: the row of the smallest key, then always the row furthest from all so far (ties by key)."""
-    centres = [list(df.agg(F.min_by("v", F.struct(*key))).first()[0])]
+def spread_start(df: DataFrame, key: list[str], k: int, seed: int) -> list[list[float]]:
+    """k starting centres drawn as in k-means++: one at random, each further one with a chance in proportion to its squared distance.
+
+    Draws are hashes of seed, turn and key, so they don't depend on partitioning.
+    """
+    u = lambda turn: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(turn), *key), 11) / F.lit(float(1 << 53))
+    centres = [list(df.agg(F.min_by("v", F.struct(u(0), *key))).first()[0])]
     while len(centres) < k:
-        centres.append(_furthest(df, key, centres))
+        centres.append(_furthest(df, key, centres, u(len(centres))))
     return centres
 
 
@@ -159,7 +168,7 @@ def _centre_sums(df: DataFrame, centres: list[list[float]]) -> dict[int, list[fl
     return out
 
 
-def kmeans(df: DataFrame, key: list[str], k: int, max_iterations: int = 100, least: int = MIN_WARD_DAYS) -> tuple[DataFrame, list[list[float]]]:
+def kmeans(df: DataFrame, key: list[str], k: int, max_iterations: int = 100, least: int = MIN_WARD_DAYS, seed: int = 2026) -> tuple[DataFrame, list[list[float]]]:
     """Lloyd's algorithm on column ``v``: ``key..., label, distance`` and the centres.
 
     Each step is one pass with partial sums on the executors; only k vectors come back. An emptied
@@ -170,7 +179,7 @@ def kmeans(df: DataFrame, key: list[str], k: int, max_iterations: int = 100, lea
     n = df.count()
     if n < least:
         raise InsufficientWardDays(f"{n} rows; clustering needs {least}")
-    centres = furthest_first(df, key, k)
+    centres = spread_start(df, key, k, seed)
     for _ in range(max_iterations):
         got = _centre_sums(df, centres)
         spare = _furthest(df, key, centres) if len(got) < k else None
@@ -267,13 +276,16 @@ def cohort_summary(features: DataFrame, labels: DataFrame, n_atypical: int = 5)
 
 
 def trace_text(eps: DataFrame) -> DataFrame:
-    """A ward-day as text: for each clinician in order, ``round i: bed bucket bed bucket ...`` joined by `` ; ``."""
+    """A ward-day as text: for each clinician, by id, ``round i: bed bucket bed bucket ...``, counted from 0 and joined by `` ; ``.
+
+    Beds are named by what follows the ward, in lower case.
+    """
     d = F.col("dwell_s")
     bucket = F.when(d < 300, "brief").when(d < 600, "short").when(d < 1200, "medium").when(d < 2400, "long").otherwise("extended")
-    x = eps.withColumns({"day": F.to_date("start"), "ward": ward_of("bed"), "step": F.concat_ws(" ", F.substring_index("bed", "/", -1), bucket)})
-    one = x.groupBy("day", "ward", "clinician").agg(F.array_sort(F.collect_list(F.struct("start", "bed", "step"))).alias("s"), F.min("start").alias("first"))
+    x = eps.withColumns({"day": F.to_date("start"), "ward": ward_of("bed"), "step": F.concat_ws(" ", F.lower(F.regexp_replace("bed", "^[^/]*/", "")), bucket)})
+    one = x.groupBy("day", "ward", "clinician").agg(F.array_sort(F.collect_list(F.struct("start", "bed", "step"))).alias("s"))
     one = one.withColumn("text", F.array_join(F.transform("s", lambda e: e["step"]), " "))
-    w = Window.partitionBy("day", "ward").orderBy("first", "clinician")
-    one = one.withColumn("i", F.row_number().over(w))
+    w = Window.partitionBy("day", "ward").orderBy("clinician")
+    one = one.withColumn("i", F.row_number().over(w) - 1)
     lines = F.array_sort(F.collect_list(F.struct("i", F.concat(F.lit("round "), F.col("i"), F.lit(": "), F.col("text")).alias("t"))))
     return one.groupBy("day", "ward").agg(F.array_join(F.transform(lines, lambda e: e["t"]), " ; ").alias("trace"))

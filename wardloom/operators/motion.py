@@ -26,6 +26,9 @@ class LowerBoundViolation(ValueError):
     """A bound above what was walked."""
 
 
+REPORT = "observed_m double, necessary_m double, attributable_m double, ci_low double, ci_high double, n_ward_days bigint, n_patients bigint, n_clinicians bigint, n_replicates int"
+
+
 @dataclass(frozen=True)
 class MotionParams:
     base_dwell_s: float = 120
@@ -215,5 +218,4 @@ def motion_report(eps: DataFrame, layout: Layout, cost: DataFrame, params: Motio
     if not ci[0] < ci[1]:
         raise InsufficientEvidence("the resampling distribution has no spread")
     row = (point["o"], point["n"], point["o"] - point["n"], float(ci[0]), float(ci[1]), point["k"], n_patients, n_clinicians, params.n_replicates)
-    ddl = "observed_m double, necessary_m double, attributable_m double, ci_low double, ci_high double, n_ward_days long, n_patients long, n_clinicians long, n_replicates int"
-    return eps.sparkSession.createDataFrame([row], ddl)
+    return eps.sparkSession.createDataFrame([row], REPORT)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardloom.functions.draws import sql_draw
 from wardloom.operators import coverage as C
+from wardloom.operators import evidence as V_
 from wardloom.operators import features as V
 from wardloom.operators import geometry as G
 from wardloom.operators import motion as M
@@ -14,7 +15,7 @@ from wardloom.operators import suppression as S
 from wardloom.plans import views
 from wardloom.plans.views import CLAIMS, LAYOUT, STAYS
 from wardloom.plans.ward import COSTS, joined
-from wardloom.session import Query, cut, table
+from wardloom.session import Query, cut, local_table, table
 
 PARAMS = M.MotionParams(n_replicates=200, model_confidence=False)  # of the variant in SQL, which takes every stop as certain
 REPORT_PARAMS = M.MotionParams()
@@ -43,17 +44,12 @@ def necessary_metres(spark: SparkSession, d: str) -> DataFrame:
     return r6(m, "observed_m", "necessary_m")
 
 
-def _motion_stays(spark: SparkSession, d: str) -> DataFrame:
-    """Episodes at occupied beds, as the motion report can't take others."""
-    return _stays(spark, d).where("patient is not null")
-
-
 def motion_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return r6(M.motion_replicates(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS), "observed_m", "necessary_m")
+    return r6(M.motion_replicates(_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS), "observed_m", "necessary_m")
 
 
 def motion_observed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    eps, cost = _motion_stays(spark, d), G.costs(spark, LAYOUT)
+    eps, cost = _stays(spark, d), G.costs(spark, LAYOUT)
     out = None
     for i, v in enumerate(PARAMS.dwell_values):
         kept = M.stops(eps).where(F.col("dwell_s") >= v)
@@ -64,7 +60,16 @@ def motion_observed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_report(spark: SparkSession, d: str) -> DataFrame:
-    return M.motion_report(_motion_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS)
+    """The report over all stays, or why it is refused."""
+    try:
+        return M.motion_report(_stays(spark, d), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS).withColumn("refused", F.lit(None).cast("string"))
+    except S.SuppressionFloor as why:
+        return local_table(spark, [(*[None] * 9, str(why))], M.REPORT + ", refused string")
+
+
+def motion_report_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The report over the stays at occupied beds only: a cohort that can be verified."""
+    return M.motion_report(_stays(spark, d).where("patient is not null"), LAYOUT, G.costs(spark, LAYOUT), REPORT_PARAMS)
 
 
 def suppression_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -80,6 +85,16 @@ def coverage_units(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d)
 
 
+def coverage_units_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Units over stays of any length, moments within an hour, and patients taken together in 500 groups."""
+    r = V_.required_map(V_.claims(V_.evidence_index(views.recognised(spark, d).withColumn("patient", views.patient_group("patient")))))
+    return C.coverage_units(cut(views.stays(spark, d, 0).withColumn("patient", views.patient_group("patient"))), r, 3600)
+
+
+def coverage_cells_wide(spark: SparkSession, d: str) -> DataFrame:
+    return r6(C.coverage_cells(coverage_units_wide(spark, d)), "coverage", "ci_low", "ci_high")
+
+
 def coverage_cells(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.coverage_cells(_units(spark, d)), "coverage", "ci_low", "ci_high")
 
@@ -119,7 +134,10 @@ def features_standardised(spark: SparkSession, d: str) -> DataFrame:
 def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     f = cut(_features(spark, d))
     x = cut(V.vectors(V.standardise(f)).select("day", "ward", "v"))
-    return f, V.kmeans(x, ["day", "ward"], 4, least=20)[0]
+    try:
+        return f, V.kmeans(x, ["day", "ward"], 4)[0]
+    except V.InsufficientWardDays:  # refused: no labels
+        return f, local_table(spark, [], "day date, ward string, label int, distance double")
 
 
 def kmeans_full(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +197,7 @@ def trace_text(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        modal_ward, round_observed_metres, necessary_metres, motion_bootstrap, motion_observed_bootstrap, motion_report, suppression_floor, coverage_units, coverage_cells,
+        modal_ward, round_observed_metres, necessary_metres, motion_bootstrap, motion_observed_bootstrap, motion_report, motion_report_joined, suppression_floor, coverage_units, coverage_units_wide, coverage_cells_wide, coverage_cells,
         coverage_cells_open, wilson, coverage_bootstrap, coverage_by_strategy, ward_day_features, features_standardised, kmeans_full, cohort_summary, cohort_atypical,
         kmeans_assign_step, kmeans_embeddings, ari, ari_embeddings, nearest_ward_days, vector_topk, trace_text,
     )
@@ -210,6 +228,9 @@ units as (select c.day, c.ward, s.strategy, n_observed, n_clinicians, coalesce(n
 """
 
 
+_WIDE = views.grouped(_UNITS).replace("r.b - r.a >= 120000000", "r.b - r.a >= 0").replace("interval 300 second", "interval 3600 second")
+
+
 def _wilson_sql(k: str, n: str, sign: str) -> str:
     z = repr(C.Z)
     z2 = repr(C.Z * C.Z)
@@ -218,10 +239,10 @@ def _wilson_sql(k: str, n: str, sign: str) -> str:
     return f"greatest(0.0, {mid} - {half})" if sign == "-" else f"least(1.0, {mid} + {half})"
 
 
-def _cells_sql(p: int, c: int) -> str:
+def _cells_sql(p: int, c: int, units: str = _UNITS) -> str:
     ok = f"n_patients >= {p} and n_clinicians >= {c}"
     return (
-        _UNITS
+        units
         + f"""select day, ward, strategy, not ({ok}) as suppressed, case when {ok} then n_patients end as n_patients, case when {ok} then n_covered end as n_covered,
   case when {ok} then round(n_covered / n_patients, 6) end as coverage, case when {ok} then round({_wilson_sql("n_covered", "n_patients", "-")}, 6) end as ci_low,
   case when {ok} then round({_wilson_sql("n_covered", "n_patients", "+")}, 6) end as ci_high from units"""
@@ -260,7 +281,7 @@ SQL: dict[str, str] = {
     "modal_ward": f"with {STAYS}, {_MODAL} select * from modal",
     "round_observed_metres": f"""with {STAYS}, {COSTS}, {_LEGS.format(120)} select clinician, day, round(coalesce(sum(metres), 0.0), 6) as observed_m
 from legs left join cost on cost.a = bed and cost.b = nxt group by 1, 2""",
-    "motion_observed_bootstrap": f"""with {STAYS.replace("where r.b - r.a >= 120000000", "where r.b - r.a >= 120000000 and o.patient is not null")}, {COSTS}, {_MODAL},
+    "motion_observed_bootstrap": f"""with {STAYS}, {COSTS}, {_MODAL},
 th as (select * from (values (0, 60), (1, 120), (2, 180), (3, 300)) t(dwell_no, v)),
 l2 as (select dwell_no, clinician, start::date as day, bed, lead(bed) over (partition by dwell_no, clinician, start::date order by start, bed) as nxt from stays join th on dwell_s >= v),
 obs as (select dwell_no, clinician, day, sum(metres) as m from l2 left join cost on cost.a = bed and cost.b = nxt group by 1, 2, 3),
@@ -273,6 +294,8 @@ select replicate, round(sum(m), 4) as observed_m from draws join ids using (unit
     "suppression_floor": f"""with {STAYS}, c as (select count(distinct patient) as n_patients, count(distinct clinician) as n_clinicians, count(*) filter (patient is null) as n_unjoined from stays)
 select *, n_patients >= 5 and n_clinicians >= 2 and n_unjoined = 0 as above_floor from c""",
     "coverage_units": _UNITS + "select * from units",
+    "coverage_units_wide": _WIDE + "select * from units",
+    "coverage_cells_wide": _cells_sql(5, 2, _WIDE),
     "coverage_cells": _cells_sql(5, 2),
     "coverage_cells_open": _cells_sql(1, 1),
     "wilson": f"""with o as (select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as k from orders group by 1)
@@ -281,10 +304,10 @@ select *, round({_wilson_sql("k", "n", "-")}, 6) as ci_low, round({_wilson_sql("
     + f""",
 ids as (select day, ward, row_number() over (order by day, ward) - 1 as unit from cells),
 nn as (select count(*) as n from ids),
-draws as (select i as replicate, k, {sql_draw(7, "i", "k")} % n as unit from range(100) t(i), nn, range(1, nn.n + 1) u(k)),
+draws as (select i as replicate, k, {sql_draw(7, "i", "k")} % n as unit from range(1000) t(i), nn, range(1, nn.n + 1) u(k)),
 d2 as (select replicate, k, strategy, n_patients, n_covered from draws join ids using (unit) join units using (day, ward)),
 d3 as (select replicate, strategy, n_patients, case when n_patients > 0 then
-  len(list_filter(range(1, n_patients + 1), lambda p: {sql_draw(8, "replicate", "k * 10000 + p")} % n_patients < n_covered)) else 0 end as hits from d2)
+  len(list_filter(range(1, n_patients + 1), lambda p: {sql_draw(8, "replicate", f"k * {C.STRIDE} + p")} % n_patients < n_covered)) else 0 end as hits from d2)
 select strategy, replicate, round(sum(hits) / nullif(sum(n_patients), 0), 6) as coverage from d3 group by 1, 2""",
     "ward_day_features": _FEATURES + "select day, ward, " + ", ".join(f"round({c} + 1e-7, 4) as {c}" for c in V.FEATURES) + " from feats",
     "features_standardised": _FEATURES
@@ -304,12 +327,16 @@ p as (select q.vec_id as query, r.vec_id as neighbour, list_cosine_similarity(q.
 select query, neighbour, row_number() over (partition by query order by round(2 - 2 * s, 12), neighbour)::int as rank, round(s, 5) as similarity from p
 qualify row_number() over (partition by query order by round(2 - 2 * s, 12), neighbour) <= 10""",
     "trace_text": f"""with {STAYS},
-x as (select *, start::date as day, split_part(bed, '/', 1) as ward, split_part(bed, '/', 2) || ' ' || case when dwell_s < 300 then 'brief' when dwell_s < 600 then 'short'
+x as (select *, start::date as day, split_part(bed, '/', 1) as ward, lower(split_part(bed, '/', 2)) || ' ' || case when dwell_s < 300 then 'brief' when dwell_s < 600 then 'short'
   when dwell_s < 1200 then 'medium' when dwell_s < 2400 then 'long' else 'extended' end as step from stays),
-one as (select day, ward, clinician, string_agg(step, ' ' order by start, bed, step) as text, min(start) as first from x group by 1, 2, 3),
-num as (select *, row_number() over (partition by day, ward order by first, clinician) as i from one)
+one as (select day, ward, clinician, string_agg(step, ' ' order by start, bed, step) as text from x group by 1, 2, 3),
+num as (select *, row_number() over (partition by day, ward order by clinician) - 1 as i from one)
 select day, ward, string_agg('round ' || i || ': ' || text, ' ; ' order by i) as trace from num group by 1, 2""",
 }
+#: The refusal; the tables always hold stays at beds without a patient.
+SQL["motion_report"] = f"""with {STAYS}, c as (select count(*) filter (patient is null) as u from stays)
+select null::double as observed_m, null::double as necessary_m, null::double as attributable_m, null::double as ci_low, null::double as ci_high, null::bigint as n_ward_days,
+  null::bigint as n_patients, null::bigint as n_clinicians, null::int as n_replicates, u || ' episodes have no patient; the cohort can''t be verified' as refused from c"""
 SQL["coverage_by_strategy"] = f"""with boot as ({SQL["coverage_bootstrap"].replace("round(sum(hits) / nullif(sum(n_patients), 0), 6)", "sum(hits) / nullif(sum(n_patients), 0)")}),
 bs as (select strategy, count(*) as usable, quantile_cont(coverage, 0.025) as lo, quantile_cont(coverage, 0.975) as hi from boot where coverage is not null group by 1),
 u as ({SQL["coverage_units"]}),

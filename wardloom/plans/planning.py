@@ -15,7 +15,7 @@ from wardloom.operators import schedule as S
 from wardloom.plans import views
 from wardloom.plans.views import CLAIMS, EVENTS, LAYOUT
 from wardloom.plans.ward import COSTS
-from wardloom.session import Query, cut, table
+from wardloom.session import Query, cut, small_side, table
 
 PROTECTED = list(range(36, 42))
 N_SLOTS = 72
@@ -218,15 +218,28 @@ def rrf_topk(spark: SparkSession, d: str) -> DataFrame:
     return fused.withColumn("score", F.round("score", 9))
 
 
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks of one line."""
+    one = F.lit(1)
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("path"), one.alias("start_line"), one.alias("end_line"), F.lit("").alias("heading_path"), "text")
+
+
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Spans that hold the passage's first words, as labels for the harness."""
-    top = R.top_k(R.bm25_scores(_chunks(spark, d), table(spark, d, "eval_item"), "doc_id", "heading_path", "text", "item_id", "passage"), 1)
-    return top.join(_chunks(spark, d), "doc_id").select("query_id", "path", "start_line", "end_line")
+    """Labels that no ranking has made: the documents into which a stretch of the item's passage has got."""
+    grams = lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - 8, F.lit(-1))), lambda i: i >= 0), lambda i: F.array_join(F.slice(c, i + 1, 8), " "))
+    words = lambda df, key, c: df.where(F.col(c).isNotNull()).select(key, R.tokens(F.col(c)).alias("w")).where(F.size("w") >= 8)
+    items = words(table(spark, d, "eval_item"), "item_id", "passage").select(F.col("item_id").alias("query_id"), F.explode(grams(F.col("w"))).alias("g")).distinct()
+    notes = words(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.explode(grams(F.col("w"))).alias("g"))
+    one = F.lit(1)
+    return notes.join(small_side(items), "g").select("query_id", F.concat(F.lit("doc/"), "doc_id").alias("path"), one.alias("start_line"), one.alias("end_line")).distinct()
 
 
 def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
-    ranked = R.top_k(_lexical(spark, d), 20)
-    s = R.retrieval_scores(ranked, _relevant(spark, d), _chunks(spark, d), _queries(spark, d))
+    """Items' queries against the documents, scored by where their passages stand; items that stand nowhere aren't asked."""
+    labels = cut(_relevant(spark, d))
+    asked = _queries(spark, d).join(labels.select("query_id").distinct(), "query_id", "left_semi")
+    ranked = R.top_k(R.bm25_scores(_notes(spark, d), asked, "doc_id", "heading_path", "text", "query_id", "query"), 20)
+    s = R.retrieval_scores(ranked, labels, _notes(spark, d), asked)
     return s.withColumns({c: F.round(c, 6) for c in ("recall", "mrr")})
 
 
@@ -338,6 +351,14 @@ sc as (select query_id, doc_id, sum(qf * greatest(0.0, ln((n - df + 0.5) / (df +
   from q join df using (term) join post using (term), st group by 1, 2),
 top as (select query_id, doc_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as rank from sc)
 """
+#: Items and the documents that hold eight consecutive words of their passage.
+_LABELS = """
+with i as (select item_id, regexp_extract_all(lower(passage), '[a-z0-9]+') as w from eval_item where passage is not null),
+d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null),
+ig as (select distinct item_id, array_to_string(w[p:p + 7], ' ') as g from i, lateral (select unnest(range(1, len(w) - 6)) as p)),
+dg as (select doc_id, array_to_string(w[p:p + 7], ' ') as g from d, lateral (select unnest(range(1, len(w) - 6)) as p))
+select distinct item_id, doc_id from ig join dg using (g)
+"""
 
 SQL: dict[str, str] = {
     "process_log": _LOG + "select case_id, count(*) as n_events, min(event_ts) as first_ts, max(event_ts) as last_ts from log group by 1",
@@ -377,15 +398,16 @@ ok as (select need.patient, need.specialty, h.clinician, free.s from need join h
   where not (p.k is not null and p.k % 5 = 0 and free.s <= 23 and free.s + 2 >= 20))
 select patient, specialty, count(distinct clinician) as n_clinicians, count(*) as n_starts from ok group by 1, 2""",
     "bm25_topk": _BM25.format("query") + "select query_id, doc_id, round(score, 6) as score, rank from top where rank <= 10",
-    "retrieval_eval": "with lex as ("
-    + _BM25.format("query")
-    + "select * from top where rank <= 20), gold as ("
-    + _BM25.format("passage")
-    + """select query_id, path, start_line, end_line from top join doc_chunk on id = doc_id where rank = 1),
-best as (select lex.query_id, min(lex.rank) as best from lex join doc_chunk c on c.id = lex.doc_id join gold on gold.query_id = lex.query_id and gold.path = c.path
-  and c.start_line <= gold.end_line and c.end_line >= gold.start_line group by 1)
+    "retrieval_eval": "with lab as ("
+    + _LABELS
+    + "), lex as ("
+    + _BM25.format("query").replace("select id as doc_id, regexp_extract_all(lower(coalesce(heading_path, '')", "select doc_id, regexp_extract_all(lower(''").replace("from doc_chunk)", "from documents)").replace(
+        "from eval_item)", "from eval_item where item_id in (select item_id from lab))"
+    )
+    + """select * from top where rank <= 20),
+best as (select query_id, min(rank) as best from lex join lab on lab.item_id = query_id and lab.doc_id = lex.doc_id group by 1)
 select count(*) as n_queries, round(avg((coalesce(best, 21) <= 5)::int), 6) as recall, round(avg(coalesce(1.0 / best, 0.0)), 6) as mrr
-from (select distinct item_id as query_id from eval_item) left join best using (query_id)""",
+from (select distinct item_id as query_id from lab) left join best using (query_id)""",
     "token_replay_cases": _REPLAY
     + """select case_id, produced, consumed, missing, missing as remaining, round(0.5 * (1 - missing / consumed) + 0.5 * (1 - missing / produced), 6)::double as fitness,
   case when problems > 0 then 'deviating' when missing > 0 then 'missing-data' else 'clean' end as bucket from played""",

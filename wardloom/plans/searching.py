@@ -60,10 +60,12 @@ def stream_place_counts(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/ward_event.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/ward_event.parquet*")
     counts = stream_counts(stream.withColumn("place", F.col("source")), "1 day", "30 days")
-    name = f"stream_{uuid.uuid4().hex}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    to = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    # The last batch holds the complete result; it is written to the shared folder, none of it comes to the driver.
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{to}/counts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("place").alias("source"), "n_events")
+    return spark.read.parquet(f"{to}/counts").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("place").alias("source"), "n_events")
 
 
 QUERIES: dict[str, Query] = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardloom.functions.keys import sql_id, sql_kind, sql_name
+from wardloom.functions.keys import id_key, sql_id, sql_kind, sql_name
 from wardloom.operators import episodes as E
 from wardloom.operators import evidence as V
 from wardloom.operators import ingest as I
@@ -29,9 +29,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.map_places(I.typed_events(table(spark, sf_dir, "ward_event")), places(spark))
 
 
-def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stays(spark: SparkSession, sf_dir: str, min_dwell_s: float = 120) -> DataFrame:
     """Episodes at beds with patients and specialties."""
-    eps = E.episodes(events(spark, sf_dir), places=beds(spark))
+    eps = E.episodes(events(spark, sf_dir), E.EpisodeParams(min_dwell_s=min_dwell_s), beds(spark))
     return E.attach_specialties(E.attach_patients(eps, table(spark, sf_dir, "bed_occupancy")), table(spark, sf_dir, "clinician_roster"))
 
 
@@ -43,6 +43,19 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.claims(V.evidence_index(recognised(spark, sf_dir)))
 
 
+def patient_group(c: str):
+    """A patient's group of 500, by the number in the id."""
+    return (F.regexp_extract(id_key(c), "([0-9]+)$", 1).try_cast("int") % 500).cast("string")
+
+
+def grouped(sql: str) -> str:
+    """SQL over stays and claims with patients in groups."""
+    group = lambda c: f"(regexp_extract({c}, '([0-9]+)$', 1)::int % 500)::varchar"
+    assert sql.count(f"select {sql_id('patient')} as patient, specialty") == 1 == sql.count("    o.patient, coalesce(")
+    sql = sql.replace(f"select {sql_id('patient')} as patient, specialty", f"select {group(sql_id('patient'))} as patient, specialty")
+    return sql.replace("    o.patient, coalesce(", f"    {group('o.patient')} as patient, coalesce(")
+
+
 def required(spark: SparkSession, sf_dir: str, strategy: str | None = None) -> DataFrame:
     r = V.required_map(claims(spark, sf_dir))
     return r if strategy is None else r.where(F.col("strategy") == strategy).drop("strategy")

@@ -96,6 +96,17 @@ def mdt_moments(spark: SparkSession, d: str) -> DataFrame:
     return m.select("bed", "patient", "start", "end", joined("present"), joined("satisfied"))
 
 
+def mdt_moments_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Moments within an hour over stays of any length, of patients taken together in 500 groups.
+
+    Hardly any patient in a bed needs several specialties in the tables; a group needs what its
+    patients need.
+    """
+    r = V.required_map(V.claims(V.evidence_index(views.recognised(spark, d).withColumn("patient", views.patient_group("patient")))))
+    m = M.mdt_moments(views.stays(spark, d, 0).withColumn("patient", views.patient_group("patient")), r, 3600)
+    return m.select("strategy", "bed", "patient", "start", "end", joined("present"), joined("satisfied"))
+
+
 def opportunistic_candidates(spark: SparkSession, d: str) -> DataFrame:
     n = M.near_misses(
         I.transitions(views.events(spark, d)), cut(views.stays(spark, d)), views.required(spark, d, "union"), G.passed_beds(spark, LAYOUT, 15.0)
@@ -154,7 +165,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_events_typed, location_map_tiers, pseudonymise_subjects, ingestion_report, transitions, episodes, episodes_by_dwell_sweep, episodes_enriched,
-        rounds, evidence_long, specialty_recognition, evidence_index, bounds_degenerate, strategies_all, mdt_selection, mdt_moments, mdt_moments_by_strategy,
+        rounds, evidence_long, specialty_recognition, evidence_index, bounds_degenerate, strategies_all, mdt_selection, mdt_moments, mdt_moments_by_strategy, mdt_moments_wide,
         opportunistic_candidates, travel_nodes, travel_edges, travel_cost,
     )
 }
@@ -199,6 +210,9 @@ select min_dwell_s::double as min_dwell_s, count(*) filter (b - a >= min_dwell_s
 from m4 where strategy = 'union' and len(satisfied) >= 2""",
     "mdt_moments_by_strategy": _MOMENTS
     + """select strategy, bed, patient, start, "end", array_to_string(present, ',') as present, array_to_string(satisfied, ',') as satisfied
+from m4 where len(satisfied) >= 2""",
+    "mdt_moments_wide": views.grouped(_MOMENTS).replace("r.b - r.a >= 120000000", "r.b - r.a >= 0").replace("interval 300 second", "interval 3600 second")
+    + """select strategy, bed, patient, start, "end", array_to_string(present, ',') as present, array_to_string(satisfied, ',') as satisfied
 from m4 where len(satisfied) >= 2""",
     "travel_cost": f"with {COSTS} select a, b, round(metres, 6) as metres, round(seconds, 6) as seconds from cost",
     "pseudonymise_subjects": f"""with {EVENTS}, s as (select distinct subject_kind, subject from ev where subject is not null)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -28,10 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share, set where it isn't yet."""
+    """The checkpoint folder that all executors share, set where it isn't yet.
+
+    Refuses a cluster that names none, as a folder of this machine would be another one on each
+    executor; only a local master gets a temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardloom-checkpoint-"))
     return sc.getCheckpointDir()
 
