@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from wardloom.operators import geometry as G
+from wardloom.operators import exact as B
 from wardloom.operators import process as P
 from wardloom.operators import retrieval as R
 from wardloom.operators import schedule as S
@@ -151,6 +152,41 @@ def test_exact_front_of_a_tiny_instance():
         X.Instance(4, 1, {"p": "1A/BED0"}, {"p": frozenset({"x"})}, {"A": frozenset()})
 
 
+@pytest.mark.parametrize("seed", [1, 5, 11])
+def test_branch_and_bound_equals_enumeration(seed):
+    prob = X.Problem(X.tiny_instance(3, 5, seed))
+    front = [s for s, _ in X.exact_small(prob)]
+    for c, more in S.SENSES.items():
+        o = B.solve_single(prob, c)
+        assert o.proven and o.gap == 0 and prob.legal(o.plan) and o.value == (max if more else min)(s[c] for s in front)
+    for s in front:  # within the limits that a schedule of the front sets, none moves less
+        limits = {c: s[c] for c in S.SENSES if c != "motion_m"}
+        assert B.solve_single(prob, "motion_m", limits=limits).value == s["motion_m"]
+    none = B.solve_single(prob, "motion_m", limits={"makespan_s": 1.0})
+    assert none.status == B.NONE and none.proven and none.value is None
+    early = B.solve_single(prob, "motion_m", budget=3)
+    assert not early.proven and early.status in (B.OPEN, B.INCUMBENT) and early.bound <= min(s["motion_m"] for s in front)
+
+
+def test_sweep_of_limits(spark):
+    inst = X.tiny_instance(3, 5)
+    got = B.epsilon_sweep(spark, inst, grid=2).cache()
+    report = B.sweep_report(got).first()
+    assert report.all_proven and report.n_solves == got.count() and report.largest_gap == 0.0
+    exact = {tuple(s[c] for c in S.SENSES) for s, _ in X.exact_small(X.Problem(inst))}
+    front = {tuple(r[c] for c in S.SENSES) for r in B.sweep_front(got).collect()}
+    assert front and front <= exact
+
+
+def test_anchor_instance():
+    inst = X.anchor_instance()
+    assert len(inst.beds) == 30 and len(inst.skills) == 8 and inst.n_slots == 36 and X.anchor_instance() == inst
+    assert [X.teams_for(n) for n in (1, 30, 31, 60, 61)] == [1, 1, 2, 2, 3]
+    assert len(X.anchor_instance(n_teams=2).skills) == 16
+    with pytest.raises(ValueError):
+        X.anchor_instance(n_beds=55)
+
+
 def test_warm_start():
     prob = X.Problem(X.ward_instance())
     rng = random.Random(1)

@@ -82,6 +82,61 @@ def ward_instance(n_beds: int = 12, n_clinicians: int = 6, n_slots: int = 24, se
     )
 
 
+# One team's roles and skills, and the beds for each clinician of a team.
+TEAM = (
+    ("consultant", ("general_medicine",)),
+    ("consultant", ("general_medicine",)),
+    ("registrar", ("general_medicine",)),
+    ("consultant", ("cardiology",)),
+    ("registrar", ("cardiology",)),
+    ("consultant", ("surgical",)),
+    ("registrar", ("surgical",)),
+    ("consultant", ("nephrology", "general_medicine")),
+)
+BEDS_A_CLINICIAN = 30 / 8
+
+
+def teams_for(n_beds: int) -> int:
+    """Whole teams that a number of beds is staffed with, rounded up."""
+    if n_beds < 1:
+        raise ValueError("at least one bed is needed")
+    return max(1, math.ceil(n_beds / BEDS_A_CLINICIAN / len(TEAM)))
+
+
+def anchor_instance(n_beds: int = 30, n_slots: int = 36, n_teams: int = 1, seed: int = 20260814) -> Instance:
+    """The anchor's shape: 30 beds, one team of eight, 36 slots of five minutes; other sizes by parameter.
+
+    Of patients 60 % need one specialty, 35 % two and 5 % three; acuity is one of four; 10 % are
+    isolated; 15 % are away for six slots in a row; six slots in the middle are protected; a quarter
+    of the clinicians are away for nine slots; half the patients have someone from yesterday.
+    """
+    if n_teams < 1:
+        raise ValueError("at least one team is needed")
+    rng = random.Random(seed)
+    beds = Layout().bed_names()
+    if n_beds > len(beds):
+        raise ValueError(f"the layout has {len(beds)} beds")
+    skills = {f"C{k:02d}": frozenset(s) for k, (_, s) in enumerate(TEAM * n_teams)}
+    pool = sorted(frozenset().union(*skills.values()))
+    patients = [f"P{k:02d}" for k in range(n_beds)]
+    need = {p: frozenset(rng.sample(pool, rng.choices((1, 2, 3), (60, 35, 5))[0])) for p in patients}
+
+    def stretch(n: int) -> frozenset[int]:
+        first = rng.randrange(max(1, n_slots - n + 1))
+        return frozenset(range(first, min(n_slots, first + n)))
+
+    slots = frozenset(range(n_slots))
+    holders = {p: sorted(c for c, s in skills.items() if s & need[p]) for p in patients}
+    return Instance(
+        n_slots, 1, dict(zip(patients, beds)), need, skills,
+        available={c: slots - stretch(9) if rng.random() < 0.25 else slots for c in skills},
+        off={p: stretch(6) for p in patients if rng.random() < 0.15},
+        protected=frozenset(range(n_slots // 2, min(n_slots, n_slots // 2 + 6))),
+        previous=frozenset((p, rng.choice(holders[p])) for p in patients if rng.random() < 0.5),
+        acuity={p: rng.randint(1, 4) for p in patients}, isolated=frozenset(p for p in patients if rng.random() < 0.1),
+    )
+
+
 class Problem:
     """An instance with its costs worked out: building and scoring of plans."""
 
@@ -173,6 +228,17 @@ class Problem:
         return self.build(choice, wish if rng.random() < 0.7 else {}, lambda _: rng.random())
 
 
+    def even_choice(self, rng: random.Random) -> dict[tuple[str, str], str]:
+        """A clinician for each required pair, who sees the patient anyway or has the fewest patients so far."""
+        load: dict[str, set[str]] = {c: set() for c in self.i.skills}
+        choice = {}
+        for p, s in rng.sample(self.pairs, len(self.pairs)):
+            c = min(self.holders[s], key=lambda c: (p not in load[c], len(load[c]), rng.random()))
+            load[c].add(p)
+            choice[p, s] = c
+        return choice
+
+
 class Archive:
     """Plans that none other seen dominates; of equal scores the first."""
 
@@ -304,8 +370,9 @@ def nsga2(prob: Problem, seed: int, budget: int, size: int = 24) -> list:
         return (prob.score(plan), plan) if plan else None
 
     def fresh() -> tuple[dict, tuple]:
-        for _ in range(200):
-            g = {k: gene(k) for k in prob.pairs}
+        for turn in range(400):
+            # Where random genomes don't fit, patients are shared out evenly and seen as early as can be.
+            g = {k: gene(k) for k in prob.pairs} if turn < 20 else {k: (c, 0) for k, c in prob.even_choice(rng).items()}
             if got := decode(g):
                 return g, got
         raise InfeasibleInstance("no legal schedule found")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardloom.operators import episodes as E
+from wardloom.operators import exact as B
 from wardloom.operators import features as V
 from wardloom.operators import search as X
 from wardloom.operators.geometry import Layout, costs
@@ -37,6 +38,24 @@ def exact_small_front(spark: SparkSession, d: str) -> DataFrame:
     return X.run_islands(spark, X.tiny_instance(3, 5), X.exact_small, [0], 2_000_000)
 
 
+def exact_payoff(spark: SparkSession, d: str) -> DataFrame:
+    """Proven best of each objective on a small instance, with value, bound and gap."""
+    return B.payoff(spark, X.tiny_instance(4, 6))
+
+
+def epsilon_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return B.epsilon_sweep(spark, X.tiny_instance(3, 5), grid=2)
+
+
+def epsilon_front(spark: SparkSession, d: str) -> DataFrame:
+    return B.sweep_front(cut(B.epsilon_sweep(spark, X.tiny_instance(3, 5), grid=2)))
+
+
+def anchor_front(spark: SparkSession, d: str) -> DataFrame:
+    """The genetic search on 30 beds, eight clinicians and 36 slots."""
+    return X.run_islands(spark, X.anchor_instance(), X.nsga2, SEEDS, 300)
+
+
 def synthetic_recall(spark: SparkSession, d: str) -> DataFrame:
     """Episodes found in a clean generated log against its true visits."""
     events, truth = synthetic.event_log(spark, Layout(), synthetic.LogConfig(n_days=3))
@@ -70,7 +89,7 @@ def stream_place_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (random_search_front, hill_climb_front, acs_front, nsga2_front, exact_small_front, synthetic_recall, day_type_agreement, stream_place_counts)
+    for f in (random_search_front, hill_climb_front, acs_front, nsga2_front, exact_small_front, exact_payoff, epsilon_sweep, epsilon_front, anchor_front, synthetic_recall, day_type_agreement, stream_place_counts)
 }
 SQL: dict[str, str] = {
     "stream_place_counts": "select date_trunc('day', event_ts)::timestamp as window_start, source, count(*) as n_events from ward_event where event_ts is not null group by 1, 2",
