@@ -282,3 +282,27 @@ def test_clock_and_levels(spark):
     assert (r.start, r.seconds) == (T0 + timedelta(minutes=15), 600)
     t = spark.createDataFrame([("motion_m", 10.0, 50.0)], "objective string, ideal double, nadir double")
     assert [r.bound for r in S.grid_levels(t).orderBy("level").collect()] == [50.0, 40.0, 30.0, 20.0, 10.0]
+
+
+def test_long_chains_are_on_no_cycle(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)] + [("x", "y"), ("y", "x"), ("n30", "x"), (None, "x"), ("x", "y")], "item string, depends_on string")
+    assert {r.item for r in W.on_cycles(edges, cut_every=4).collect()} == {"x", "y"}
+    assert W.on_cycles(edges.limit(0)).count() == 0
+
+
+def test_graph_file_budget_and_audit(spark, tmp_path):
+    path = tmp_path / "graph.json"
+    path.write_text('{"nodes": [{"id": "a", "title": "First", "status": "done"}, {"id": "b", "gate": "hard-stop", "depends_on": ["a"]}]}')
+    items, edges = W.load_graph(spark, str(path))
+    assert [(r.item, r.status, r.gate, r.agent) for r in items.orderBy("item").collect()] == [("a", "done", "autonomous", "builder"), ("b", "pending", "hard-stop", "builder")]
+    assert [r.line for r in W.flowchart(items, edges).collect()] == ["flowchart TD", '  a["a<br/>First"]:::autonomous', '  b["b"]:::hard_stop', "  a --> b"]
+    usage = spark.createDataFrame([("m", 60.0), ("n", 25.0)], "model string, billable double")
+    r = W.assess(usage, 100, [(0.8, "slow down"), (0.5, "warn"), (1.0, "stop")]).first()
+    assert (r.billable, r.fraction, r.remaining, r.action) == (85.0, 0.85, 15.0, "slow down")
+    assert W.assess(usage.limit(0), 100, []).first().action == "ok"
+    log = str(tmp_path / "audit")
+    for what in ("one", "two"):
+        W.append_audit(spark.createDataFrame([(what, "because", "plan", ["f"])], "action string, why string, authority string, artefacts array<string>"), log)
+    assert sorted((r.action, r.artefacts, r.node) for r in W.read_audit(spark, log).collect()) == [("one", ["f"], None), ("two", ["f"], None)]
+    with pytest.raises(ValueError):
+        W.append_audit(spark.createDataFrame([("x", None, "y")], "action string, why string, authority string"), log)
