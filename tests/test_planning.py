@@ -9,6 +9,7 @@ import pytest
 
 from wardloom.operators import geometry as G
 from wardloom.operators import exact as B
+from wardloom.operators import petri as N
 from wardloom.operators import process as P
 from wardloom.operators import retrieval as R
 from wardloom.operators import schedule as S
@@ -48,6 +49,35 @@ def test_discovery(spark):
         P.discover(edges, "magic")
 
 
+def test_petri_replay_fixture(spark):
+    train = log(spark, {f"c{i}": ["arrive", "depart"] * 3 for i in range(3)})
+    net = N.net_of_tree(P.mine_tree(P.discover(P.dfg(train))))
+    test = log(spark, {"missing": ["arrive"], "odd": ["depart", "arrive"], "clean": ["arrive", "depart"], "strange": ["arrive", "depart", "x"]})
+    got = {r.case_id: r for r in N.replay(test, net).collect()}
+    assert {c: r.bucket for c, r in got.items()} == {"missing": "missing-data", "odd": "deviating", "clean": "clean", "strange": "deviating"}
+    assert got["clean"].fitness == 1.0 > got["odd"].fitness
+    f = P.log_fitness(N.replay(train, net)).first()
+    assert f.fitness == 1.0 and N.escaping_precision(train, net).first().precision >= 0.8
+
+
+def test_mined_nets_replay_their_own_log(spark):
+    """What the miner has seen fits, and nets are sound on it: no token stays behind."""
+    rng = random.Random(3)
+    shapes = [
+        lambda: "a" + rng.choice(["bc", "cb"]) + "d",
+        lambda: "a" + "bc" * rng.randint(1, 3),
+        lambda: rng.choice(["ab", "cd", "a", "abd"]),
+        lambda: "s" + "".join(rng.sample("abc", 3)) + rng.choice(["", "t"]),
+        lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5))),
+    ]
+    for shape in shapes:
+        traces = {f"c{i}": shape() for i in range(40)}
+        seen = log(spark, traces)
+        net = N.net_of_tree(P.mine_tree(P.discover(P.dfg(seen)), P.activity_sets(seen)))
+        assert {r.bucket for r in N.replay(seen, net).collect()} == {"clean"}
+        assert 0 < N.escaping_precision(seen, net).first().precision <= 1
+
+
 PLAN = "schedule_id long, clinician string, patient string, start_slot int, duration int"
 
 

@@ -81,11 +81,36 @@ def discover(edges: DataFrame, algorithm: str = "inductive", threshold: float =
     return sorted(keep)
 
 
+#: A process tree: an activity's name, or an operator (xor, seq, and, loop, flower) with its parts; TAU does nothing.
+Tree = str | tuple[str, list]
+TAU = ("tau", [])
+
+
+def tree_text(tree: Tree) -> str:
+    return tree if isinstance(tree, str) else tree[0] + (f"({', '.join(map(tree_text, tree[1]))})" if tree[1] else "")
+
+
 def process_tree(arcs: list[tuple[str, str]]) -> str:
-    """Process tree of a directly-follows graph by exclusive, sequence, parallel and loop cuts; ``flower`` where none fits."""
+    """The tree of :func:`mine_tree` as text."""
+    return tree_text(mine_tree(arcs))
+
+
+def activity_sets(log: DataFrame, limit: int = 100_000) -> list[frozenset[str]]:
+    """The distinct sets of activities that cases hold, on the driver; refuses more than ``limit``."""
+    sets = log.groupBy("case_id").agg(F.array_sort(F.collect_set("activity")).alias("s")).select("s").distinct()
+    return [frozenset(r["s"]) for r in bounded_rows(sets, limit, "the table of activity sets")]
+
+
+def mine_tree(arcs: list[tuple[str, str]], sets: list[frozenset[str]] = ()) -> Tree:
+    """Process tree of a directly-follows graph by exclusive, sequence, parallel and loop cuts; ``flower`` where none fits.
+
+    A part of a sequence that an arc leads past may be left out, and so may a part of a sequence or of
+    a parallel block that some case lacks which holds others of the block; ``sets`` are the sets of
+    activities of cases (see :func:`activity_sets`).
+    """
     acts = sorted({x for e in arcs for x in e} - {START, END})
     starts, ends = {b for a, b in arcs if a == START}, {a for a, b in arcs if b == END}
-    return _tree(acts, {(a, b) for a, b in arcs if a != START and b != END}, starts, ends)
+    return _tree(acts, {(a, b) for a, b in arcs if a != START and b != END}, starts, ends, sets)
 
 
 def _components(nodes: list[str], linked) -> list[list[str]]:  # noqa: ANN001
@@ -103,20 +128,25 @@ def _components(nodes: list[str], linked) -> list[list[str]]:  # noqa: ANN001
     return sorted(out)
 
 
-def _tree(acts: list[str], arcs: set[tuple[str, str]], starts: set[str], ends: set[str]) -> str:
+def _tree(acts: list[str], arcs: set[tuple[str, str]], starts: set[str], ends: set[str], sets: list[frozenset[str]]) -> Tree:
     if len(acts) == 1:
         a = acts[0]
-        return f"loop({a}, tau)" if (a, a) in arcs else a
+        return ("loop", [a, TAU]) if (a, a) in arcs else a
 
-    def sub(part: list[str]) -> str:
+    def sub(part: list[str]) -> Tree:
         p = set(part)
         into = {b for a, b in arcs if b in p and a not in p} | (starts & p)
         out = {a for a, b in arcs if a in p and b not in p} | (ends & p)
-        return _tree(part, {(a, b) for a, b in arcs if a in p and b in p}, into, out)
+        return _tree(part, {(a, b) for a, b in arcs if a in p and b in p}, into, out, sets)
+
+    def lacking(part: list[str]) -> bool:
+        return any(s & whole and not s & set(part) for s in sets)
+
+    whole = set(acts)
 
     parts = _components(acts, lambda x, y: (x, y) in arcs or (y, x) in arcs)
     if len(parts) > 1:
-        return f"xor({', '.join(map(sub, parts))})"
+        return ("xor", [sub(p) for p in parts])
     reach = {a: {a} for a in acts}
     changed = True
     while changed:
@@ -129,22 +159,25 @@ def _tree(acts: list[str], arcs: set[tuple[str, str]], starts: set[str], ends: s
     parts = _components(acts, lambda x, y: (y in reach[x]) == (x in reach[y]))
     if len(parts) > 1:
         order = sorted(parts, key=lambda p: -len(reach[p[0]]))
-        return f"seq({', '.join(map(sub, order))})"
+        at = {a: i for i, p in enumerate(order) for a in p}
+        spans = [(at[a], at[b]) for a, b in arcs] + [(-1, at[a]) for a in starts] + [(at[a], len(order)) for a in ends]
+        past = [any(i < k < j for i, j in spans) for k in range(len(order))]
+        return ("seq", [("xor", [TAU, sub(p)]) if skip or lacking(p) else sub(p) for p, skip in zip(order, past)])
     parts = _components(acts, lambda x, y: not ((x, y) in arcs and (y, x) in arcs))
     if len(parts) > 1 and all(set(p) & starts and set(p) & ends for p in parts):
-        return f"and({', '.join(map(sub, parts))})"
+        return ("and", [("xor", [TAU, sub(p)]) if lacking(p) else sub(p) for p in parts])
     body = starts | ends
     rest = [a for a in acts if a not in body]
     groups = _components(rest, lambda x, y: (x, y) in arcs or (y, x) in arcs)
     redo = [g for g in groups if {b for a, b in arcs if a in g and b in body} <= starts and {a for a, b in arcs if b in g and a in body} <= ends]
     do = sorted(body | {a for g in groups if g not in redo for a in g})
     if redo and len(do) < len(acts):
-        return f"loop({sub(do)}, {', '.join(map(sub, redo))})"
+        return ("loop", [sub(do), *map(sub, redo)])
     if starts <= ends | starts and any((e, s) in arcs for e in ends for s in starts) and len(acts) > 1:
         inner = {(a, b) for a, b in arcs if not (a in ends and b in starts)}
         if inner != arcs and len(_components(acts, lambda x, y: (x, y) in inner or (y, x) in inner)) == 1:
-            return f"loop({_tree(acts, inner, starts, ends)}, tau)"
-    return f"flower({', '.join(acts)})"
+            return ("loop", [_tree(acts, inner, starts, ends, sets), TAU])
+    return ("flower", list(acts))
 
 
 def _replay(arcs: set[tuple[str, str]]):

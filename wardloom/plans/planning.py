@@ -9,6 +9,7 @@ from wardloom.functions.keys import id_key, sql_id
 from wardloom.operators import features as V
 from wardloom.operators import geometry as G
 from wardloom.operators import ingest as I
+from wardloom.operators import petri as N
 from wardloom.operators import process as P
 from wardloom.operators import retrieval as R
 from wardloom.operators import schedule as S
@@ -74,6 +75,26 @@ def process_tree(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "algorithm string, tree string")
 
 
+def _net(spark: SparkSession, log: DataFrame) -> N.Net:
+    return N.net_of_tree(P.mine_tree(P.discover(cut(P.dfg(log))), P.activity_sets(log)))
+
+
+def petri_net(spark: SparkSession, d: str) -> DataFrame:
+    """Transitions of the mined net with their places."""
+    rows = [(i, label, list(into), list(out)) for i, (label, into, out) in enumerate(_net(spark, log_of_stays(spark, d)).transitions)]
+    return spark.createDataFrame(rows, "transition int, activity string, places_in array<int>, places_out array<int>")
+
+
+def petri_replay(spark: SparkSession, d: str) -> DataFrame:
+    log = log_of_stays(spark, d)
+    return N.replay(log, _net(spark, log)).withColumn("fitness", F.round("fitness", 6))
+
+
+def petri_precision(spark: SparkSession, d: str) -> DataFrame:
+    log = log_of_stays(spark, d)
+    return N.escaping_precision(log, _net(spark, log)).withColumn("precision", F.round("precision", 6))
+
+
 # Schedules: what the tables don't hold is made from the numbers of ids (the same in the SQL).
 def _number(c: str) -> F.Column:
     return F.regexp_extract(c, "([0-9]+)$", 1).cast("int")
@@ -251,7 +272,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        process_log, dfg_edges, start_end_activities, dependency_measure, trace_variants, token_replay_cases, log_fitness, model_precision, process_tree, viol_availability,
+        process_log, dfg_edges, start_end_activities, dependency_measure, trace_variants, token_replay_cases, log_fitness, model_precision, process_tree, petri_net, petri_replay, petri_precision, viol_availability,
         viol_offward, viol_protected, viol_acuity, viol_isolation, double_bookings, travel_time, hard_violations, schedule_routes, schedule_bedside, schedule_objectives,
         pareto_front, front_ranks, crowding, payoff_table, allowed_starts, bm25_topk, rrf_topk, retrieval_eval, chunk_documents,
     )
