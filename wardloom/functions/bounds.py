@@ -20,13 +20,14 @@ def open_walk(d: np.ndarray) -> float:
         return 0.0
     best = np.full((1 << n, n), np.inf)
     best[1 << np.arange(n), np.arange(n)] = 0.0
-    for mask in range(1, 1 << n):
-        row = best[mask]
-        ends = np.flatnonzero(np.isfinite(row))
+    masks = np.arange(1 << n)
+    size = (masks[:, None] >> np.arange(n) & 1).sum(1)
+    for k in range(1, n):  # all sets of k points at once
+        layer = masks[size == k]
+        onward = (best[layer][:, :, None] + d[None, :, :]).min(1)
         for j in range(n):
-            if not mask >> j & 1 and len(ends):
-                to = mask | 1 << j
-                best[to, j] = min(best[to, j], (row[ends] + d[ends, j]).min())
+            open_ = layer >> j & 1 == 0
+            best[layer[open_] | 1 << j, j] = onward[open_, j]
     return float(best[-1].min())
 
 
