@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from wardloom.llm.sentences import ACTS, CLASSES, MOVES, N_STATES, PAD, chunk_function, compose, cuts, pair, places, sentence_units, spread_units, units, units_of
+from wardloom.llm import sentences
+from wardloom.llm.sentences import ACTS, CLASSES, MOVES, N_STATES, PAD, functions_of, compose, cuts, pair, places, sentence_units, spread_units, units, units_of
 
 
 def split(text):
@@ -80,6 +81,21 @@ def test_scan_over_chunks_equals_one_pass():
     assert list(zip(who.tolist(), a.tolist(), z.tolist())) == [(i, x, y) for i, t in enumerate(texts) for x, y in one_pass(t)]
 
 
+def test_states_go_on_over_batches():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    f = rng.integers(0, N_STATES, (60, N_STATES)).astype(np.int16)
+    pdf = pd.DataFrame({"copy": np.sort(rng.integers(0, 4, 60)), "no": range(60), "f": f.tolist()})
+    for size in (1, 7, 60):
+        got = pd.concat(sentences._compose(pdf.iloc[i : i + size] for i in range(0, 60, size)))
+        assert got["state"].tolist() == compose(f, pdf["copy"].to_numpy()).tolist()
+
+
+def test_empty_parts_change_no_state():
+    assert functions_of([("x", 1, 1, False), ("a b. C", 0, 6, True)])[0].tolist() == list(range(N_STATES))
+
+
 def test_table_is_complete():
     assert MOVES.shape == ACTS.shape == (N_STATES, PAD + 1) and len(CLASSES) == PAD
     assert (MOVES[:, PAD] == np.arange(N_STATES)).all() and not ACTS[:, PAD].any()
@@ -98,8 +114,8 @@ def test_chunk_function_is_the_transducer():
         for start in range(N_STATES):
             state = start
             for no, (a, z) in enumerate(zip(edge, edge[1:])):
-                state = chunk_function(text, a, z, no == 0)[state]
-            assert state == chunk_function(text, 0, len(text), True)[start]
+                state = int(functions_of([(text, a, z, no == 0)])[0][state])
+            assert state == functions_of([(text, 0, len(text), True)])[0][start]
     assert MOVES.shape[0] == N_STATES and places("", 0, 0, 0, 0, True, True)
 
 

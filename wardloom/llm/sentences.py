@@ -459,8 +459,8 @@ def pair(events: list[tuple[int, int]]) -> list[tuple[int, int]]:
 CHUNK = 32  # marks in a chunk
 
 
-def compose(functions: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """First state of every chunk: functions of each owner's chunks composed in order by a doubling scan."""
+def scan(functions: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Functions of each owner's chunks composed in order, up to and with every chunk, by a doubling scan."""
     f, step = functions.copy(), 1
     while step < len(f):
         same = np.flatnonzero(owner[step:] == owner[:-step])
@@ -468,10 +468,24 @@ def compose(functions: np.ndarray, owner: np.ndarray) -> np.ndarray:
             break
         f[same + step] = np.take_along_axis(f[same + step], f[same], axis=1)
         step *= 2
+    return f
+
+
+def compose(functions: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """First state of every chunk."""
+    f = scan(functions, owner)
     first = np.append(True, owner[1:] != owner[:-1])
     return np.where(first, 0, np.append([0], f[:-1, 0]))
 
 
+def chunk_functions(chunks: np.ndarray) -> np.ndarray:
+    """Each row of mark classes as a function: last state for each first state."""
+    f = np.broadcast_to(np.arange(N_STATES, dtype=np.int16), (len(chunks), N_STATES))
+    for k in range(chunks.shape[1]):
+        f = MOVES[f, chunks[:, k, None]]
+    return f
+
+
 def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sentence units of many texts: number of the text, start and end in code points."""
     cls, begin, end, chunk_owner, size = [], [], [], [], []
@@ -493,10 +507,7 @@ def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     c, owner = np.array(cls, dtype=np.int16), np.array(chunk_owner)
     chunks = c.reshape(-1, CHUNK)
     # Each chunk as a function of its first state, then the first states by the scan, then all actions.
-    f = np.broadcast_to(np.arange(N_STATES, dtype=np.int16), (len(chunks), N_STATES))
-    for k in range(CHUNK):
-        f = MOVES[f, chunks[:, k, None]]
-    state, acts = compose(f, owner), np.empty_like(chunks, dtype=np.int8)
+    state, acts = compose(chunk_functions(chunks), owner), np.empty_like(chunks, dtype=np.int8)
     for k in range(CHUNK):
         acts[:, k] = ACTS[state, chunks[:, k]]
         state = MOVES[state, chunks[:, k]]
@@ -527,12 +538,17 @@ def units(text: str) -> list[tuple[int, int]]:
     return list(zip(a.tolist(), z.tolist()))
 
 
-def chunk_function(text: str, start: int, stop: int, first: bool) -> list[int]:
-    """The chunk as a function: last state for each first state."""
-    to = np.arange(N_STATES, dtype=np.int16)
-    for c, _, _ in marks(text, start, stop, first):
-        to = MOVES[to, c]
-    return to.tolist()
+def functions_of(parts: list[tuple[str, int, int, bool]]) -> np.ndarray:
+    """Parts of texts (text, from, to, whether it is the first) as functions."""
+    cls, owner = [], []
+    for i, part in enumerate(parts):
+        mine = [c for c, _, _ in marks(*part)]
+        mine += [PAD] * (-len(mine) % CHUNK or (0 if mine else CHUNK))
+        cls += mine
+        owner += [i] * (len(mine) // CHUNK)
+    owner = np.array(owner)
+    whole = scan(chunk_functions(np.array(cls, dtype=np.int16).reshape(-1, CHUNK)), owner)
+    return whole[np.append(owner[1:] != owner[:-1], True)]
 
 
 def cuts(text: str, size: int) -> list[int]:
@@ -568,14 +584,24 @@ def _chunks(size: int):
 
 def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        f = [chunk_function(t, a, z, no == 0) for t, a, z, no in zip(pdf.text, pdf.start, pdf.stop, pdf.no)]
-        yield pd.DataFrame({"copy": pdf["copy"], "no": pdf["no"], "f": f})
+        if len(pdf):
+            f = functions_of([(t, a, z, no == 0) for t, a, z, no in zip(pdf.text, pdf.start, pdf.stop, pdf.no)])
+            yield pd.DataFrame({"copy": pdf["copy"], "no": pdf["no"], "f": f.tolist()})
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("no")
-    state = compose(np.array(pdf["f"].tolist(), dtype=np.int16), np.zeros(len(pdf), dtype=np.int8))
-    return pd.DataFrame({"copy": pdf["copy"].to_numpy(), "no": pdf["no"].to_numpy(), "state": state})
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First state of every chunk of a partition sorted by document and number; one document's state is held between batches."""
+    copy, held = None, 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        owner = pdf["copy"].to_numpy()
+        f = scan(np.array(pdf["f"].tolist(), dtype=np.int16), owner)
+        begin = np.where(owner == copy, held, 0) if copy is not None else np.zeros(len(owner), dtype=np.int64)
+        upto = f[np.arange(len(f)), begin]
+        first = np.append(True, owner[1:] != owner[:-1])
+        yield pd.DataFrame({"copy": owner, "no": pdf["no"].to_numpy(), "state": np.where(first, begin, np.append([0], upto[:-1])).astype(np.int64)})
+        copy, held = owner[-1], int(upto[-1])
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -661,7 +687,7 @@ def spread_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ch
     big = cut(d.withColumn("copy", F.monotonically_increasing_id()))
     chunks = big.select("copy", "text").mapInArrow(_chunks(chunk_chars), ", ".join(f"{c} {t}" for c, t in _CHUNK)).repartition("copy", "no")
     made = chunks.mapInPandas(_functions, "copy bigint, no int, f array<int>")
-    states = made.groupBy("copy").applyInPandas(_compose, "copy bigint, no int, state bigint")
+    states = made.repartition("copy").sortWithinPartitions("copy", "no").mapInPandas(_compose, "copy bigint, no int, state bigint")
     placed = chunks.join(states, ["copy", "no"]).mapInPandas(_places, "copy bigint, no int, i bigint, at bigint, kind int")
     w = Window.partitionBy("copy").orderBy("no", "i")
     placed = placed.withColumn("g", F.sum("kind").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("g > 0")
