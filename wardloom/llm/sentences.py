@@ -570,14 +570,23 @@ _CHUNK_SCHEMA = pa.schema([(c, _TYPES[t]) for c, t in _CHUNK])
 
 
 def _chunks(size: int):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 edge = cuts(text, size)
                 for no, (a, z) in enumerate(zip(edge, edge[1:])):
                     lo = max(0, a - CONTEXT)
-                    row = (copy, no, len(edge) - 1, lo, a - lo, z - lo, lo + len(text[lo:a].rstrip()), text[lo : z + CONTEXT])
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK_SCHEMA)], schema=_CHUNK_SCHEMA)
+                    rows.append((copy, no, len(edge) - 1, lo, a - lo, z - lo, lo + len(text[lo:a].rstrip()), text[lo : z + CONTEXT]))
+                    held += len(rows[-1][-1])
+                    if held > 2_000_000:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     return run
 
