@@ -253,3 +253,15 @@ def test_empty_tables(spark):
     need = spark.createDataFrame([], "patient string, required array<string>")
     assert M.mdt_moments(eps, need).count() == 0
     assert E.rounds(eps).count() == 0
+
+
+def test_layout_payload():
+    p = G.payload(G.Layout())
+    assert (len(p["nodes"]), len(p["edges"])) == (69, 78)
+    assert {n["kind"] for n in p["nodes"]} == {"bed", "corridor", "lift", "stair"}
+    assert all(e["a"] < e["b"] for e in p["edges"])
+
+
+def test_quarantined_texts(spark):
+    e = spark.createDataFrame([("s", "QUARANTINE:Bay x"), ("t", "QUARANTINE:Bay x"), ("s", "1A/BED0"), (None, None)], "subject string, place string")
+    assert [tuple(r) for r in I.quarantined_places(e).collect()] == [("Bay x", 2, 2)]

@@ -68,6 +68,12 @@ def quarantined_raw(place: str) -> Column:
     return F.when(is_quarantined(place), F.substring(F.col(place), len(QUARANTINE) + 1, 1 << 30))
 
 
+def quarantined_places(events: DataFrame) -> DataFrame:
+    """``raw, n_events, n_subjects`` of every text that no tier knows, as it was written."""
+    raw = quarantined_raw("place").alias("raw")
+    return events.select(raw, "subject").where("raw is not null").groupBy("raw").agg(F.count("*").alias("n_events"), F.count_distinct("subject").alias("n_subjects"))
+
+
 def pseudonym(c: str | Column, salt: bytes) -> Column:
     """First 16 hex digits of HMAC-SHA256(salt, value), in built-in expressions. Null stays null."""
     key = salt if len(salt) <= 64 else hashlib.sha256(salt).digest()

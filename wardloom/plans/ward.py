@@ -12,7 +12,7 @@ from wardloom.operators import ingest as I
 from wardloom.operators import moments as M
 from wardloom.plans import views
 from wardloom.plans.views import CLAIMS, EVENTS, LAYOUT, RECOGNISED, RUNS, STAYS
-from wardloom.session import Query, cut, table
+from wardloom.session import Query, cut, local_table, table
 
 SALT = b"wardloom-demo-salt"
 
@@ -39,6 +39,33 @@ def ingestion_report(spark: SparkSession, d: str) -> DataFrame:
     return I.ingestion_report(views.events(spark, d))
 
 
+def quarantined_places(spark: SparkSession, d: str) -> DataFrame:
+    """What stays unknown where only beds are known, not the wards' stations."""
+    known = views.beds(spark).withColumnRenamed("bed", "place")
+    return I.quarantined_places(I.map_places(I.typed_events(table(spark, d, "ward_event")), known))
+
+
+def bay_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Free bay spellings of the events and the place that each alias stands for."""
+    given = local_table(spark, [(f"Bay {i}", p) for i, p in enumerate(LAYOUT.bed_names())], "alias string, place string")
+    bays = spark.range(40).select(F.concat(F.element_at(F.array(*map(F.lit, ("Bay ", "b", "BAY 0", " bay"))), (F.col("id") % 4 + 1).cast("int")), F.col("id")).alias("location"))
+    return I.map_places(bays, views.places(spark), given)
+
+
+def straight_and_routed(spark: SparkSession, d: str) -> DataFrame:
+    """Distance as the crow flies beside the routed one, of all pairs of beds."""
+    n = G.nodes(spark, LAYOUT).where("kind = 'bed'")
+    a, b = (n.select(F.col("id").alias(k), F.struct("x", "y", "z").alias(f"p{k}")) for k in ("a", "b"))
+    both = G.costs(spark, LAYOUT).join(a, "a").join(b, "b")
+    point = lambda k: (F.col(f"p{k}.x"), F.col(f"p{k}.y"), F.col(f"p{k}.z"))
+    return both.select("a", "b", F.round(G.straight_metres(point("a"), point("b")), 6).alias("straight_m"), F.round("metres", 6).alias("routed_m"))
+
+
+def sweep_is_stable(spark: SparkSession, d: str) -> DataFrame:
+    """Whether recall stays within half of its mean over the dwell thresholds."""
+    return E.stable_within(E.dwell_sensitivity(views.events(spark, d), E.EpisodeParams(), known_visits=1000), 0.5)
+
+
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     t = I.transitions(views.events(spark, d))
     return t.select("subject_kind", "subject", "seq", "origin", "destination", "departed_at", "arrived_at", F.round("seconds", 6).alias("seconds"))
@@ -164,7 +191,7 @@ m4 as (select m3.*, strategy, list_sort(list_intersect(present, required)) as sa
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        scan_events_typed, location_map_tiers, pseudonymise_subjects, ingestion_report, transitions, episodes, episodes_by_dwell_sweep, episodes_enriched,
+        scan_events_typed, location_map_tiers, pseudonymise_subjects, ingestion_report, quarantined_places, bay_aliases, straight_and_routed, sweep_is_stable, transitions, episodes, episodes_by_dwell_sweep, episodes_enriched,
         rounds, evidence_long, specialty_recognition, evidence_index, bounds_degenerate, strategies_all, mdt_selection, mdt_moments, mdt_moments_by_strategy, mdt_moments_wide,
         opportunistic_candidates, travel_nodes, travel_edges, travel_cost,
     )
@@ -189,6 +216,15 @@ SQL: dict[str, str] = {
 ) select subject_kind, subject, count(*) as n_events, count(*) filter (event_ts < pt) as n_out_of_order,
   count(*) filter (event_ts >= pt and activity = pa and place = pp and event_ts - pt <= interval 10 second) as n_duplicates,
   count(*) filter (place like 'QUARANTINE:%') as n_quarantined from x group by 1, 2""",
+    "quarantined_places": f"""with {EVENTS.replace(views._PLACES, ", ".join(f"('{x}')" for x in LAYOUT.bed_names()))} select substr(place, 12) as raw, count(*) as n_events, count(distinct subject) as n_subjects from ev where place like 'QUARANTINE:%' group by 1""",
+    "bay_aliases": f"""with b as (select id, ['Bay ', 'b', 'BAY 0', ' bay'][id % 4 + 1] || id as location from range(40) t(id)),
+p as (select place, row_number() over () - 1 as i from (select unnest([{", ".join(f"'{x}'" for x in LAYOUT.bed_names())}]) as place))
+select location, p.place as place, 0.85::double as place_confidence from b join p on p.i = b.id""",
+    "straight_and_routed": f"""with {COSTS} select a, b, round(sqrt(power(32 * (p.i - q.i) + p.x - q.x, 2) + power(4.2 * (p.floor - q.floor), 2) + power(p.z - q.z, 2)), 6)::double as straight_m,
+  round(metres, 6)::double as routed_m from cost join bed_geo p on p.bed = a join bed_geo q on q.bed = b""",
+    "sweep_is_stable": f"""with {RUNS}, v as (select * from (values (60.0), (120.0), (180.0), (300.0)) t(w)),
+r as (select w, count(*) filter (b - a >= w * 1000000) / 1000.0 as recall from v, runs group by 1)
+select greatest(max(recall) - avg(recall), avg(recall) - min(recall)) <= 0.5 as stable from r""",
     "transitions": f"""with {EVENTS}, {_TRANSITIONS} select subject_kind, subject, seq, origin, destination, departed_at, arrived_at,
   round((epoch_us(arrived_at) - epoch_us(departed_at)) / 1e6, 6) as seconds from moves where origin <> destination""",
     "episodes": f"""with {RUNS} select clinician, place as bed, make_timestamp(a) as start, make_timestamp(b) as "end", round((b - a) / 1e6, 6) as dwell_s, n_events,
