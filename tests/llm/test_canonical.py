@@ -105,6 +105,15 @@ def test_distance():
         assert distance(b, a, 3) == distance(a, b, 3)
 
 
+def test_variants_are_all_deletions():
+    from itertools import combinations
+
+    for word in ("", "a", "ab", "abca", "aabbcc", "renal"):
+        for most in (0, 1, 2):
+            want = {"".join(c for i, c in enumerate(word) if i not in at) for k in range(most + 1) for at in combinations(range(len(word)), k)}
+            assert canonical.variants(word, most) == want
+
+
 def test_tokens():
     assert tokens_of("Re5Piraeory (O/P)") == ["respiraeory", "op"]
     assert tokens_of("ward 5E: i.c.u.") == ["ward", "5e", "icu"]

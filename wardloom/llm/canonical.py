@@ -19,7 +19,6 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,11 +86,14 @@ def allowed(n: int) -> int:
 
 
 def variants(word: str, most: int) -> set[str]:
-    """``word`` and what is left of it without up to ``most`` letters."""
-    out = {word}
-    for k in range(1, most + 1):
-        for at in combinations(range(len(word)), k):
-            out.add("".join(c for i, c in enumerate(word) if i not in at))
+    """``word`` and what is left of it without up to ``most`` letters, two at most."""
+    out, n = {word}, len(word)
+    if most > 0:
+        out.update(word[:i] + word[i + 1 :] for i in range(n))
+    if most > 1:
+        for i in range(n):
+            head, tail = word[:i], word[i + 1 :]
+            out.update([head + tail[:j] + tail[j + 1 :] for j in range(len(tail))])
     return out
 
 
