@@ -167,6 +167,35 @@ def test_coverage_fixture(spark):
     assert all(x.refused == "nobody needs two specialties" and x.coverage is None for x in nobody)
 
 
+def many_units(spark, n):
+    """Ward-days of which some have nobody, nobody covered, everybody covered; most are in between."""
+    rows = [(T0.date() + timedelta(days=i // 2), f"1{'AB'[i % 2]}", s, i % 5, min(i % 5, (i // 5 + j) % 4)) for i in range(n) for j, s in enumerate(("union", "referral"))]
+    return rows, spark.createDataFrame(rows, "day date, ward string, strategy string, n_patients bigint, n_covered bigint")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_bootstrap_of_thousands_of_ward_days(spark, monkeypatch, broadcast):
+    """Draw numbers beyond 2147 times STRIDE need 64 bits, and the draws are never the broadcast side."""
+    if not broadcast:
+        monkeypatch.setattr(C, "BROADCAST_UNITS", 0)
+    n, reps = 2300, 3
+    rows, units = many_units(spark, n)
+    by = {(s, i // 2): (rows[i][3], rows[i][4]) for i, s in enumerate(r[2] for r in rows)}
+    want = {}
+    for r in range(reps):
+        chosen = [draw_of(7, r, k) % n for k in range(1, n + 1)]
+        for s in ("union", "referral"):
+            total = sum(by[s, u][0] for u in chosen)
+            hits = sum(draw_of(8, r, k * C.STRIDE + p) % by[s, u][0] < by[s, u][1] for k, u in enumerate(chosen, 1) for p in range(1, by[s, u][0] + 1))
+            want[s, r] = hits / total
+    df = C.coverage_bootstrap(units, reps)
+    got = df.collect()
+    assert {(r.strategy, r.replicate): r.coverage for r in got} == want and len(got) == len(want)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    join = next(x for x in plan.splitlines() if "Join [unit#" in x)
+    assert ("BroadcastHashJoin" in join and "BuildRight" in join) if broadcast else "SortMergeJoin" in join
+
+
 def test_replicates_of_the_queries(spark, monkeypatch):
     need = spark.createDataFrame([(s, f"P{d}_{p}", ["cardiology", "nephrology"]) for s in STRATEGIES for d in range(3) for p in range(10)], "strategy string, patient string, required array<string>")
     units = C.coverage_units(spark.createDataFrame(covered_days(), EP), need)

@@ -15,6 +15,8 @@ from wardloom.session import small_side
 Z = 1.959963984540054
 #: Counters kept apart for the patients of one drawn ward-day; none has as many.
 STRIDE = 1_000_000
+#: As many ward-days are broadcast to the draws; a row of some 60 bytes for each of their strategies.
+BROADCAST_UNITS = 50_000
 
 
 class InsufficientCoverage(ValueError):
@@ -63,6 +65,10 @@ def coverage_bootstrap(units: DataFrame, n_replicates: int = 1000, seed: int = 7
 
     A patient drawn from a ward-day is covered if the draw falls below its number of covered ones.
     Units without patients can be drawn and add none; a replicate without patients has null coverage.
+
+    Plan: each task draws whole replicates against the counted ward-days, broadcast, and adds them up, so
+    that only sums travel; beyond ``BROADCAST_UNITS`` ward-days a merge join. The side of the draws must
+    not be broadcast, though its size estimate, which knows nothing of the exploded rows, would allow it.
     """
     spark = units.sparkSession
     ids = units.select("day", "ward").distinct().withColumn("unit", F.row_number().over(Window.orderBy("day", "ward")) - 1)
@@ -70,16 +76,19 @@ def coverage_bootstrap(units: DataFrame, n_replicates: int = 1000, seed: int = 7
     if n < 2:
         raise InsufficientCoverage(f"{n} ward-days; at least two are needed")
     numbered = units.join(ids, ["day", "ward"]).select("strategy", "unit", "n_patients", "n_covered")
-    draws = spark.range(n_replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"))
+    numbered = F.broadcast(numbered) if n <= BROADCAST_UNITS else numbered.hint("merge")
+    draws = spark.range(n_replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))).alias("k"))
     draws = draws.withColumn("unit", (draw(seed, F.col("replicate"), F.col("k")) % n).cast("int")).join(numbered, "unit")
-    inner = F.filter(
-        F.sequence(F.lit(1), F.col("n_patients").cast("int")),
-        lambda p: draw(seed + 1, F.col("replicate"), F.col("k") * STRIDE + p) % F.col("n_patients") < F.col("n_covered"),
+    # Where all or none are covered the draws can't change it: one row stands for the patients.
+    open_ = (F.col("n_covered") > 0) & (F.col("n_covered") < F.col("n_patients"))
+    draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.when(open_, F.col("n_patients").cast("int")).otherwise(1))).alias("p"))
+    hit = draw(seed + 1, F.col("replicate"), F.col("k") * STRIDE + F.col("p")) % F.col("n_patients") < F.col("n_covered")
+    draws = draws.select(
+        "strategy", "replicate",
+        F.when(open_, hit.cast("bigint")).when(F.col("n_covered") == 0, 0).otherwise(F.col("n_patients")).alias("hits"),
+        F.when(open_, 1).otherwise(F.col("n_patients")).alias("patients"),
     )
-    # Where all or none are covered the draws can't change it.
-    hits = F.when(F.col("n_covered") == 0, 0).when(F.col("n_covered") >= F.col("n_patients"), F.col("n_patients")).otherwise(F.size(inner))
-    draws = draws.withColumn("hits", hits)
-    return draws.groupBy("strategy", "replicate").agg((F.sum("hits") / F.when(F.sum("n_patients") > 0, F.sum("n_patients"))).alias("coverage"))
+    return draws.groupBy("strategy", "replicate").agg((F.sum("hits") / F.when(F.sum("patients") > 0, F.sum("patients"))).alias("coverage"))
 
 
 def coverage_by_strategy(units: DataFrame, n_replicates: int = 1000, seed: int = 7) -> DataFrame:
