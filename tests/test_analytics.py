@@ -196,6 +196,15 @@ def test_bootstrap_of_thousands_of_ward_days(spark, monkeypatch, broadcast):
     assert ("BroadcastHashJoin" in join and "BuildRight" in join) if broadcast else "SortMergeJoin" in join
 
 
+def test_coverage_by_strategy_over_thousands_of_ward_days(spark):
+    rows, units = many_units(spark, 2300)
+    got = {r.strategy: r for r in C.coverage_by_strategy(units, 20).collect()}
+    for s in ("union", "referral"):
+        n, k = (sum(r[i] for r in rows if r[2] == s) for i in (3, 4))
+        r = got[s]
+        assert (r.n, r.k, r.n_ward_days, r.refused) == (n, k, 2300, None) and r.ci_low < r.coverage == k / n < r.ci_high
+
+
 def test_replicates_of_the_queries(spark, monkeypatch):
     need = spark.createDataFrame([(s, f"P{d}_{p}", ["cardiology", "nephrology"]) for s in STRATEGIES for d in range(3) for p in range(10)], "strategy string, patient string, required array<string>")
     units = C.coverage_units(spark.createDataFrame(covered_days(), EP), need)
